@@ -25,6 +25,18 @@ def op1_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import edited_fingerprints
+
+    return edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op5_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .shards import byte_shards
+
+    return byte_shards(_table(spark, sf_dir, "documents"), shards=40, overhead=16)
+
+
 def op8_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
