@@ -25,6 +25,12 @@ def op1_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repair import write_and_read
+
+    return write_and_read(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end_id=2)
+
+
 def op4_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprints import edited_fingerprints
 
