@@ -25,6 +25,12 @@ def op1_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality_rules
+
+    return quality_rules(_table(spark, sf_dir, "documents"))
+
+
 def op3_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repair import write_and_read
 
@@ -49,6 +55,12 @@ def op8_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=1, length=2048)
 
 
+def op9_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 def op10_rank_merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .rank_merge import count_tokens
 
