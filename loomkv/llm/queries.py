@@ -49,6 +49,12 @@ def op5_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_shards(_table(spark, sf_dir, "documents"), shards=40, overhead=16)
 
 
+def op6_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
 def op8_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
