@@ -55,6 +55,13 @@ def op6_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op7_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_knn import classify, fit
+
+    docs = _table(spark, sf_dir, "documents")
+    return classify(docs, fit(docs, _table(spark, sf_dir, "labels")), threshold=0.7)
+
+
 def op8_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
