@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import io
-import os
 import shutil
 import tempfile
 import uuid
@@ -14,7 +13,7 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark import SparkContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space of the word rule `[^\x20\x09-\x0D]+`.
@@ -154,5 +153,23 @@ def arrow_map(df: DataFrame, batch: Callable[[pa.RecordBatch], dict | None], sch
     return df.mapInArrow(run, schema)
 
 
-def only_env(name: str, default: int) -> int:
-    return int(os.environ.get(name, default))
+#: doc_ids that may be broadcast, 8 bytes each; beyond it joins are by shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose doc_id isn't among the ids; rows that share a doc_id share its fate, and null ones stay."""
+    ids = materialize(ids.select("doc_id").distinct(), "without")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
+
+
+def once(docs: DataFrame) -> DataFrame:
+    """One row of each doc_id, that of the smallest text. Texts are moved only for doc_ids that occur more than once."""
+    again = materialize(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "again")
+    n = again.count()
+    if not n:
+        return docs
+    again = F.broadcast(again) if n <= BROADCAST_IDS else again
+    first = Window.partitionBy("doc_id").orderBy("text")
+    picked = docs.join(again, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(first)).where("_nth = 1")
+    return docs.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(picked.select(*docs.columns))

@@ -25,12 +25,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialize, pick
+from .common import BROADCAST_IDS, arrow_map, materialize, pick
 from .components import components
 from .superminhash import band_keys, shingle_sets, short, signatures
 
-#: doc_ids that may be broadcast to pick the texts of candidates, 8 bytes each; beyond it they are joined by shuffle.
-BROADCAST_IDS = 1_000_000
 BLOCK = 1 << 20
 
 
