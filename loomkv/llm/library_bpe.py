@@ -5,15 +5,20 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import regex
 
 from . import units
 from .common import TwoGenerations
 
 #: Characters of text that are cut into units at once.
 PART = 1 << 22
+#: The matches of byte-level pre-tokenizers.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def parts(text: str) -> Iterator[str]:
@@ -44,10 +49,16 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_str(file.decode())
         self.added = [t["content"] for t in spec["added_tokens"]]
         self.drops_space = spec["pre_tokenizer"]["type"] == "Sequence"
-        self.kept = TwoGenerations(keep)
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the byte-level alphabet: others follow from 256 on
+        self.byte_char = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in plain)}
+        self.kept, self.kept_words = TwoGenerations(keep), TwoGenerations(keep // 2)
+        if self.drops_space:
+            self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        else:
+            self.words = regex.compile(BYTE_LEVEL)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -90,13 +101,30 @@ class LibraryEncoder:
             yield ids
 
     def _ask(self, missing: dict[str, bytes | None]) -> None:
-        """Fill in what the library gives for each unit."""
-        if missing:
-            names = list(missing)
-            for u, v in zip(names, self._whole(names)):
-                missing[u] = v
-            self.kept.room()
-            self.kept.update(missing)
+        """Fill in what the library gives for each unit, of whose matches many are known.
+
+        Only characters of the first Unicode blocks are split here: their classes and cases never change.
+        """
+        if not missing:
+            return
+        whole, split = [], {}
+        for u in missing:
+            if max(u, default=" ") < "\u0130" and "<|" not in u and (u.isascii() or not self.drops_space or unicodedata.is_normalized("NFC", u)):
+                split[u] = self.words.findall(u.lower() if self.drops_space else u)
+            else:
+                whole.append(u)
+        known, new = self.kept_words.recall({w for ws in split.values() for w in ws})
+        model, char = self.tokenizer.model.tokenize, self.byte_char
+        fresh = {w: array("I", [t.id for t in model(w if w.isalnum() and w.isascii() else "".join([char[b] for b in w.encode()]))]).tobytes() for w in new}
+        self.kept_words.room()
+        self.kept_words.update(fresh)
+        known |= fresh
+        for u, ws in split.items():
+            missing[u] = b"".join([known[w] for w in ws])
+        for u, v in zip(whole, self._whole(whole)):
+            missing[u] = v
+        self.kept.room()
+        self.kept.update(missing)
 
 
 _encoders: dict[bytes, LibraryEncoder] = {}
