@@ -1,0 +1,168 @@
+"""Operators 4, 5, 6 and 9 against plain models."""
+
+import hashlib
+import re
+import zlib
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from loomkv.llm import components, fingerprints, near_dup, secrets, shards, superminhash
+
+
+def test_canonical():
+    c = fingerprints.canonical
+    assert c("Straße") == c("STRASSE") and c(" A\n b\t") == c("a B") and c("ﬁne") == c("FINE") and c("é") == c("É")
+    assert c("a b") != c("ab")
+
+
+def test_op4(docs, empty, texts):
+    got = {r.doc_id: r for r in fingerprints.edited_fingerprints(docs).collect()}
+    n = len(texts)
+    for i, t in enumerate(texts):
+        t, nxt = t or "", texts[i - 1 if i else n - 1] or ""
+        half = len(t) // 2
+        edited = t[: len(t) - half] + nxt[:half]
+        r = got[i]
+        assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert r.fingerprint == fingerprints.digest(fingerprints.canonical(t)) and r.edited_fingerprint == fingerprints.digest(fingerprints.canonical(edited))
+        assert r.near_edited == (fingerprints.canonical(t) == fingerprints.canonical(edited)) and r.near_next == (fingerprints.canonical(t) == fingerprints.canonical(nxt))
+        group = [j for j, x in enumerate(texts) if fingerprints.canonical(x or "") == fingerprints.canonical(t)]
+        assert (r.group_id, r.group_size) == (min(group), len(group))
+    assert fingerprints.edited_fingerprints(empty).count() == 0
+
+
+def test_op4_compares_bytes(docs, texts):
+    """With digests of four bits nearly all collide; the groups must be the same."""
+    got = {r.doc_id: r for r in fingerprints.fingerprint(docs, bits=4).collect()}
+    forms = [fingerprints.canonical(t or "") for t in texts]
+    for i, f in enumerate(forms):
+        assert got[i].group_id == forms.index(f) and got[i].group_size == forms.count(f)
+
+
+def test_op4_one_and_repeated(make_docs):
+    one = fingerprints.edited_fingerprints(make_docs(["abcd"])).collect()
+    assert one[0].edited_sha256 == hashlib.sha256(b"abab").hexdigest()
+    many = fingerprints.edited_fingerprints(make_docs(["ab", "ab", "cd", None], [1, 1, None, 2])).collect()
+    assert len(many) == 4
+
+
+@pytest.mark.parametrize("n", [1, 3, 40])
+def test_op5(docs, empty, texts, n):
+    rows = sorted(shards.byte_shards(docs, n, 16).collect(), key=lambda r: r.doc_id)
+    sizes = [len((t or "").encode()) + 16 for t in texts]
+    total, at, slots = sum(sizes), 0, {}
+    for r, s, t in zip(rows, sizes, texts, strict=True):
+        assert r.size == s and r.text_crc32 == zlib.crc32((t or "").encode()) and r.law == "bytes" and r.grown_shard is None
+        assert r.shard == min(n - 1, int((2 * at + s) / (2 * total) * n))
+        assert r.slot == slots.get(r.shard, 0)
+        slots[r.shard] = r.slot + 1
+        at += s
+    assert shards.byte_shards(empty).count() == 0
+
+
+def test_op5_ties(make_docs):
+    rows = shards.byte_shards(make_docs(["x"] * 30 + ["y"] * 10, [7] * 40), 4).collect()
+    assert sorted((r.shard, r.slot) for r in rows) == [(s, k) for s in range(4) for k in range(10)]
+
+
+def shingles(text, k):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+
+
+def grouped(texts, ids, k, percent):
+    sets = [shingles(t, k) for t in texts]
+    links = [(ids[i], ids[j]) for i in range(len(ids)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+    found = components.union_find(links)
+    return {d: found.get(d, d) for d in ids}, [len(s) for s in sets]
+
+
+@pytest.mark.parametrize("k", [4, 5])
+def test_op6(docs, empty, texts, k):
+    want, sizes = grouped(texts, list(range(len(texts))), k, 80)
+    got = near_dup.near_duplicates(docs, k, 80).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert (r.n_shingles, r.component_id, r.kept) == (sizes[r.doc_id], want[r.doc_id], want[r.doc_id] == r.doc_id)
+    assert near_dup.near_duplicates(empty).count() == 0
+
+
+def test_op6_chain(make_docs):
+    """Successive windows of one text: neighbours are linked, the ends aren't; one component all the same."""
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[5 * i : 5 * i + 100]) for i in range(50)]
+    want, _ = grouped(texts, list(range(50)), 4, 80)
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(make_docs(texts), 4, 80).collect()}
+    assert got == want and set(want.values()) == {0}
+
+
+def test_op6_repeated_rows(make_docs):
+    got = near_dup.near_duplicates(make_docs(["a b c d e f"] * 3 + ["z y x w v u"], [4, 4, 9, 4]), 4, 80).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(4, 4), (9, 4)} and len(got) == 4
+
+
+@pytest.mark.parametrize("one_task", [1_000_000, 0])
+def test_components(spark, one_task):
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100, 130), (130, 110), (200, 201)]
+    df = spark.createDataFrame(edges, "a bigint, b bigint").repartition(4)
+    got = {r.node: r.component for r in components.components(df, one_task).collect()}
+    want = components.union_find(edges)
+    assert {k: v for k, v in got.items() if k != v} == want
+
+
+def test_superminhash_model():
+    import numpy as np
+
+    sets = [np.unique(np.random.default_rng(i).integers(0, 2**63, n, dtype=np.uint64)) for i, n in enumerate([0, 1, 5, 40, 400, 3000])]
+    got = superminhash.signatures(sets, 16)
+    for s, g in zip(sets, got):
+        h = [float("inf")] * 16
+        for e in s:
+            p = list(range(16))
+            for j in range(16):
+                f, k = superminhash._draw(np.array([e]), j, 16)
+                p[j], p[k[0]] = p[k[0]], p[j]
+                h[p[j]] = min(h[p[j]], j + f[0])
+        assert np.allclose(g, h)
+
+
+SECRET = st.lists(st.sampled_from(["password", "token", "=", ": ", '"', "abc123", "AKIA", "ABCDEFGHIJKLMNOP", "0123456789abcdef", "deadbeef", " ", "\n", "\n\n", "API_key", "é", "user=bob", "https://x.io/a", "Ab1" * 8, "ſecret=abcdefg"]), max_size=14).map("".join)
+
+
+@settings(max_examples=300, deadline=None)
+@given(SECRET)
+def test_strong_spans(text):
+    want = []
+    for m in re.finditer(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        if len(m[2]) >= 6:
+            want.append((m.start(), 0, m.end()))
+    want += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    want += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    strong, spans, links = secrets.find(text)
+    assert [(s, secrets.KINDS.index(k), e) for k, s, e in strong] == sorted(want)
+    assert set(strong) <= set(spans)
+    linked = {x for p in links for x in p}
+    assert all(x in linked for x in spans if x not in strong)
+
+
+def test_links_are_the_interval_join():
+    text = "user=alice1 then https://host.example/x and Zx9" + "kQ7" * 8 + "\n\nuser=alone99"
+    _, spans, links = secrets.find(text)
+    kinds = [k for k, _, _ in spans]
+    assert kinds == ["part_identifier", "part_endpoint", "part_secret"] and len(links) == 2
+    assert secrets.find("see https://host.example/x only")[1] == []
+    assert secrets.find("user=alice1 " + "x " * 300 + "Zx9" + "kQ7" * 8)[1] == []
+
+
+def test_op9(docs, empty, texts):
+    got = {r.doc_id: r for r in secrets.scan(docs).collect()}
+    for i, t in enumerate(texts):
+        strong, spans, _ = secrets.find(t or "")
+        assert got[i].base_sha256 == hashlib.sha256(secrets.written(strong).encode()).hexdigest() and got[i].spans == secrets.written(spans)
+    assert secrets.scan(empty).count() == 0
+    red = {r.doc_id: r for r in secrets.redacted(docs).collect()}
+    assert red[0].text is None and len(red) == len(texts)
+    hidden = next(r for r in red.values() if r.text and "<secret>" in r.text)
+    assert "hunter2" not in hidden.text and "AKIA" not in hidden.text and hidden.n_chars == len(hidden.text) and hidden.key == "x"
