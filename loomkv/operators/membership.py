@@ -64,3 +64,8 @@ def gossip_round(spark: SparkSession, views: DataFrame, fanout: int, seed: int)
     out = every.groupBy("observer", "id").agg(top).select("observer", "id", F.col("t.addr").alias("addr"), F.col("t.state").alias("state"), F.col("t.incarnation").alias("incarnation"))
     lie = (F.col("observer") == F.col("id")) & (F.col("state") != ALIVE)
     return out.withColumns({"incarnation": F.when(lie, F.col("incarnation") + 1).otherwise(F.col("incarnation")), "state": F.when(lie, ALIVE).otherwise(F.col("state")).cast("int")})
+
+
+def pick_peers(members: DataFrame, self_id: str, k: int, seed: int) -> DataFrame:
+    """k alive members other than self; the seed decides which."""
+    return alive(members).where(F.col("id") != self_id).orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(k)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomkv.functions.hashing import limbs, merkle_bucket, next_power_of_two
@@ -53,3 +53,14 @@ def fetch(entries: DataFrame, buckets: DataFrame, count: int = 1024) -> DataFram
     """Entries of the buckets, at most `count` of them, in one scan."""
     n = next_power_of_two(count)
     return entries.withColumn("bucket", merkle_bucket(F.col("key"), n)).join(F.broadcast(buckets), "bucket", "left_semi")
+
+
+def save(tree: DataFrame, path: str, count: int = 1024) -> None:
+    """The leaves alone, with the number of leaves; inner nodes follow from them."""
+    tree.withColumn("leaves", F.lit(next_power_of_two(count))).write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    saved = spark.read.parquet(path)
+    first = saved.select("leaves").first()
+    return saved.drop("leaves"), first[0] if first else 1

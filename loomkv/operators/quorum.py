@@ -76,3 +76,9 @@ def repairs(merged: DataFrame, held: DataFrame, responders: list[str]) -> DataFr
     wanted = merged.select("key", "seq").withColumn("replica", F.explode(F.array(*map(F.lit, responders))))
     both = wanted.join(own, ["replica", "key", "seq"], "full_outer")
     return both.where(F.col("mine").isNull()).select("replica", "key").union(own.join(merged.select("key", "seq"), ["key", "seq"], "left_anti").select("replica", "key")).distinct()
+
+
+def apply_remote(held: DataFrame, incoming: DataFrame) -> DataFrame:
+    """A replica's sets after one version per key was handed to it; the incoming one arrives last."""
+    later = incoming.withColumn("seq", F.col("seq") + F.lit(1 << 60))
+    return V.reconcile(held.unionByName(later), "key").withColumn("seq", F.col("seq") % (1 << 60))

@@ -66,3 +66,13 @@ def peers_except(owners_: Column, self_id: str) -> Column:
 def route(owner_: Column, self_id: str) -> Column:
     """LOCAL, or where to go; without an owner the command is served here."""
     return F.when(owner_.isNull() | (owner_ == self_id), "LOCAL").otherwise(F.concat(F.lit("MOVED "), owner_))
+
+
+def is_local(owner_: Column, self_id: str) -> Column:
+    return F.coalesce(owner_ == self_id, F.lit(False))
+
+
+def rebuild(members: DataFrame, vnodes: int = 100) -> DataFrame:
+    """The ring of the alive members, of which there may be MOST_POINTS / vnodes."""
+    ids = [r["id"] for r in members.where(F.col("state") == 0).select("id").distinct().orderBy("id").limit(MOST_POINTS // vnodes + 1).collect()]
+    return points(members.sparkSession, ids, vnodes)

@@ -37,7 +37,8 @@ def as_of(log: DataFrame) -> DataFrame:
 
 
 def with_now(entries: DataFrame, now: DataFrame) -> DataFrame:
-    return entries.crossJoin(F.broadcast(now))  # one row, from an aggregate without groups
+    """Adds now, as a scalar subquery: it is computed once and needs no join."""
+    return entries.withColumn("now", now.select("now").scalar())
 
 
 def get(requests: DataFrame, live: DataFrame) -> DataFrame:

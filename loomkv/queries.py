@@ -254,6 +254,19 @@ def ring_peers(spark, sf):
     return found.select("key", F.explode(ring.peers_except(F.col("owners"), "n0")).alias("peer"))
 
 
+@query(f"WITH {O.RING} SELECT count(*) FILTER (owner = 'n0') AS here, count(*) AS n FROM {O.owned()}")
+def ring_is_local(spark, sf):
+    owned = ring.owner(T.ring_keys(spark, sf), ring.points(spark, NODES))
+    return owned.agg(F.count_if(ring.is_local(F.col("owner"), "n0")).alias("here"), F.count("*").alias("n"))
+
+
+@query(f"WITH {O.RING} SELECT key, owner FROM {O.owned('node <> $$n1$$ AND node <> $$n3$$')}")
+def ring_rebuild(spark, sf):
+    """The ring of those members that are alive."""
+    members = spark.createDataFrame([(n, 2 if n in ("n1", "n3") else 0) for n in NODES], "id string, state int")
+    return ring.owner(T.ring_keys(spark, sf), ring.rebuild(members))
+
+
 # --- quorums
 
 
@@ -316,6 +329,22 @@ def hints_remove(spark, sf):
     return quorum.remove_hints(waiting, delivered).select("target", "key", "seq")
 
 
+@query(f"WITH {O.HELD}, a AS (SELECT * FROM own_set WHERE replica = 'n0'), t AS (SELECT max(seq) AS seq FROM ver WHERE coord = 'n2' GROUP BY key), i AS (SELECT * FROM ver WHERE seq IN (SELECT seq FROM t)), u AS (SELECT key, seq, c0, c1, c2, 0 AS late FROM a UNION SELECT key, seq, c0, c1, c2, 1 FROM i) SELECT key, seq FROM u v WHERE NOT EXISTS (SELECT 1 FROM u x WHERE x.key = v.key AND ((x.c0 >= v.c0 AND x.c1 >= v.c1 AND x.c2 >= v.c2 AND (x.c0 > v.c0 OR x.c1 > v.c1 OR x.c2 > v.c2)) OR (x.seq = v.seq AND x.late < v.late)))")
+def replica_set(spark, sf):
+    """n0 is handed the last version that n2 wrote of each key."""
+    vs = T.versions(T.command_log(spark, sf))
+    held = V.reconcile(V.last_of_writer(T.replica_versions(vs).where("replica = 'n0'").drop("replica"), "key"), "key")
+    incoming = V.last_of_writer(vs.where("coord = 'n2'"), "key").select(*held.columns)
+    return quorum.apply_remote(held, incoming).select("key", "seq")
+
+
+@query(f"WITH {O.HELD} SELECT replica, key, seq, deleted FROM own_set")
+def replica_get(spark, sf):
+    """What each of two replicas holds, without routing."""
+    held = T.replica_versions(T.versions(T.command_log(spark, sf))).where("replica in ('n0', 'n1')")
+    return V.reconcile(V.last_of_writer(held, "replica", "key"), "replica", "key").select("replica", "key", "seq", "deleted")
+
+
 # --- anti-entropy
 
 
@@ -481,6 +510,17 @@ def sketch_estimate(spark, sf):
     return sketch.estimate(log.select("key").distinct(), sketch.build(log.where("seq % 4 = 0"), 1024), 1024)
 
 
+@query(f"WITH {O.COMMANDS}, per AS (SELECT key, count(*) AS k FROM command_log GROUP BY key), hk AS (SELECT key, k, {O.fnv('key')} AS h FROM per) SELECT CAST(r AS INTEGER) AS row, CAST((h // 4294967296 + r * (h % 4294967296)) % 64 AS BIGINT) AS col, CAST(least(15, sum(k)) // 2 AS BIGINT) AS n FROM hk, range(4) t(r) GROUP BY ALL")
+def sketch_aged(spark, sf):
+    return sketch.halve(sketch.build(T.command_log(spark, sf), 64))
+
+
+@query()
+def pick_peers(spark, sf):
+    members, me = _members(spark, sf)
+    return membership.pick_peers(members.withColumn("state", F.lit(0)), me, 3, seed=7)
+
+
 def _replayed(policy: str) -> Query:
     def run(spark, sf):
         return eviction.replay(T.command_log(spark, sf), policy, capacity=20, shards=4)
