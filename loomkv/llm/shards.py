@@ -40,8 +40,8 @@ def byte_shards(docs: DataFrame, shards: int = 40, overhead: int = 16) -> DataFr
 
     w = Window.partitionBy("bin").orderBy(F.asc_nulls_first("doc_id"), "text_crc32", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumns({"upto": F.sum("size").over(w), "nth": F.count("*").over(w)}).join(F.broadcast(before), "bin")
-    middle = 2 * (F.col("size0") + F.col("upto")) - F.col("size")
-    placed = placed.withColumns({"shard": F.least(F.lit(shards - 1), F.floor(middle / F.lit(2.0 * max(1, size)) * shards)).cast("int"), "at": F.col("row0") + F.col("nth") - 1})
+    cut = F.expr(f"((2 * (size0 + upto) - size) * {shards}) div {2 * max(1, size)}")  # in whole numbers
+    placed = placed.withColumns({"shard": F.least(F.lit(shards - 1), cut).cast("int"), "at": F.col("row0") + F.col("nth") - 1})
     first = placed.groupBy("shard").agg(F.min("at").alias("first"))
     return placed.join(F.broadcast(first), "shard").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("at") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")

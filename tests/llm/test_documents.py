@@ -55,7 +55,7 @@ def test_op5(docs, empty, texts, n):
     total, at, slots = sum(sizes), 0, {}
     for r, s, t in zip(rows, sizes, texts, strict=True):
         assert r.size == s and r.text_crc32 == zlib.crc32((t or "").encode()) and r.law == "bytes" and r.grown_shard is None
-        assert r.shard == min(n - 1, int((2 * at + s) / (2 * total) * n))
+        assert r.shard == min(n - 1, (2 * at + s) * n // (2 * total))
         assert r.slot == slots.get(r.shard, 0)
         slots[r.shard] = r.slot + 1
         at += s
