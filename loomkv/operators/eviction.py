@@ -1,7 +1,6 @@
 """Eviction: policies replayed in order per shard, and what can be said without a replay.
 
-Victims are exact: the least score of all incumbents, ties by the oldest insertion. (A random sample of five is the
-reference's approximation of that.)
+Victims are exact: the least score of all incumbents, not of a random sample; ties go by the oldest insertion.
 """
 
 from __future__ import annotations

@@ -79,9 +79,9 @@ def kv_get(spark, sf):
     return store.get(requests, _live(spark, sf)).select("seq", "key", "op", "reply", "hit")
 
 
-@query(f"WITH {O.COMMANDS} SELECT key, value, seq FROM stored WHERE key NOT IN (SELECT key FROM command_log WHERE op = 'DEL' AND seq % 5 = 0)")
+@query(f"WITH {O.COMMANDS} SELECT key, value, seq FROM stored WHERE key NOT IN (SELECT key FROM command_log WHERE op = 'DEL' AND ttl_s > 5400)")
 def kv_delete(spark, sf):
-    gone = T.command_log(spark, sf).where("op = 'DEL' and seq % 5 = 0").select("key")
+    gone = T.command_log(spark, sf).where("op = 'DEL' and ttl_s > 5400").select("key")
     return store.delete(_stored(spark, sf)[0], gone).select("key", "value", "seq")
 
 
@@ -92,9 +92,9 @@ def kv_delete_if(spark, sf):
     return store.delete_if(store.with_now(entries, now), live, F.col("value") > 50).select("key", "value", "seq")
 
 
-@query(f"WITH {O.COMMANDS}, half AS (SELECT key, max(value) AS v FROM command_log WHERE op = 'SET' AND seq % 3 = 0 GROUP BY key) SELECT coalesce(s.key, h.key) AS key, greatest(s.value, h.v) AS value, h.key IS NULL AND s.expires_at IS NOT NULL AS has_expiry FROM stored s FULL JOIN half h ON s.key = h.key")
+@query(f"WITH {O.COMMANDS}, half AS (SELECT key, max(value) AS v FROM command_log WHERE op = 'SET' AND coord = 'n0' GROUP BY key) SELECT coalesce(s.key, h.key) AS key, greatest(s.value, h.v) AS value, h.key IS NULL AND s.expires_at IS NOT NULL AS has_expiry FROM stored s FULL JOIN half h ON s.key = h.key")
 def kv_update_replica(spark, sf):
-    incoming = T.command_log(spark, sf).where("op = 'SET' and seq % 3 = 0").groupBy("key").agg(F.max("value").alias("value"))
+    incoming = T.command_log(spark, sf).where("op = 'SET' and coord = 'n0'").groupBy("key").agg(F.max("value").alias("value"))
     out = store.update(_stored(spark, sf)[0], incoming, F.greatest)
     return out.select("key", "value", F.col("expires_at").isNotNull().alias("has_expiry"))
 
@@ -420,9 +420,10 @@ def state_transitions(spark, sf):
 
 @query()
 def gossip_round(spark, sf):
-    ids = T.roster(spark, sf).where("reporter = 0").select("id", "addr", "state", "incarnation")
-    first = ids.select(F.col("id").alias("observer")).where("observer < 'Supplier#000000010'")
-    return membership.gossip_round(spark, F.broadcast(first).join(ids), fanout=3, seed=1)
+    """Every member begins with its own region's members in view."""
+    members = T.table(spark, sf, "supplier").select("s_nationkey", F.col("s_name").alias("id"), F.concat(F.lit("10.0.0.1:"), "s_suppkey").alias("addr"), (F.col("s_suppkey") % 3).cast("int").alias("state"), F.col("s_suppkey").alias("incarnation"))
+    views = members.select("s_nationkey", F.col("id").alias("observer")).join(members, "s_nationkey").drop("s_nationkey")
+    return membership.gossip_round(spark, views, fanout=3, seed=1)
 
 
 # --- telemetry
@@ -503,11 +504,12 @@ def lfu_score(spark, sf):
 
 
 @query(
-    f"WITH {O.COMMANDS}, per AS (SELECT key, count(*) AS k FROM command_log WHERE seq % 4 = 0 GROUP BY key), hk AS (SELECT DISTINCT key, {O.fnv('key')} AS h FROM (SELECT DISTINCT key FROM command_log)), cell AS (SELECT key, r, CAST((h // 4294967296 + r * (h % 4294967296)) % 1024 AS BIGINT) AS c FROM hk, range(4) t(r)), sk AS (SELECT r, c, least(15, sum(k)) AS n FROM per JOIN cell USING (key) GROUP BY r, c) SELECT key, CAST(min(coalesce(n, 0)) AS BIGINT) AS estimate FROM cell LEFT JOIN sk USING (r, c) GROUP BY key"
+    f"WITH {O.COMMANDS}, per AS (SELECT key || '/' || ttl_s AS key, count(*) AS k FROM command_log GROUP BY ALL), hk AS (SELECT key, {O.fnv('key')} AS h FROM per), cell AS (SELECT key, r, CAST((h // 4294967296 + r * (h % 4294967296)) % 1024 AS BIGINT) AS c FROM hk, range(4) t(r)), sk AS (SELECT r, c, least(15, sum(k)) AS n FROM per JOIN cell USING (key) GROUP BY r, c) SELECT key, CAST(min(coalesce(n, 0)) AS BIGINT) AS estimate FROM cell LEFT JOIN sk USING (r, c) GROUP BY key"
 )
 def sketch_estimate(spark, sf):
-    log = T.command_log(spark, sf)
-    return sketch.estimate(log.select("key").distinct(), sketch.build(log.where("seq % 4 = 0"), 1024), 1024)
+    """Of keys with their TTL, so that counters aren't all at their limit."""
+    log = T.command_log(spark, sf).select(F.concat_ws("/", "key", "ttl_s").alias("key"))
+    return sketch.estimate(log.select("key").distinct(), sketch.build(log, 1024), 1024)
 
 
 @query(f"WITH {O.COMMANDS}, per AS (SELECT key, count(*) AS k FROM command_log GROUP BY key), hk AS (SELECT key, k, {O.fnv('key')} AS h FROM per) SELECT CAST(r AS INTEGER) AS row, CAST((h // 4294967296 + r * (h % 4294967296)) % 64 AS BIGINT) AS col, CAST(least(15, sum(k)) // 2 AS BIGINT) AS n FROM hk, range(4) t(r) GROUP BY ALL")
