@@ -222,6 +222,9 @@ class TextEncoder:
         return b"".join(out)
 
     def encode(self, text: str) -> bytes:
+        return b"".join(map(self._encode, units.long_parts(text)))
+
+    def _encode(self, text: str) -> bytes:
         if not text:
             return b""
         kept = self.kept

@@ -156,11 +156,10 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000, rank: int = 48, neighbours: int = 15) -> Model:
-    """Fit on at most `sample` labelled rows of each class outside the held-out quarter: 8 KB each come to the driver."""
+    """Fit on at most `sample` labelled rows of each class outside the held-out quarter: 8 KB each come to the driver. Labels without a document leave the sample smaller."""
     usable = labels.where(~held_out() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = []
     for label in (0, 1):
-        # a few more than needed, for labels whose document isn't there
         top = usable.where(F.col("quality") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         chosen += [(r["doc_id"], label) for r in top.collect()]
     ids = docs.sparkSession.createDataFrame(chosen, "doc_id bigint, quality int")

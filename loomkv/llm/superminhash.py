@@ -29,8 +29,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word of all texts, and the number of words of each text."""
+def word_hashes(texts: list[bytes], long: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word of all texts, and the number of words of each text. A long text alone is taken in parts."""
+    if len(texts) == 1 and len(texts[0]) > long:
+        text, at, found = texts[0], 0, []
+        while at < len(text):
+            end = text.find(b" ", at + long)
+            end = len(text) if end < 0 else end
+            found.append(_word_hashes([text[at:end]])[0])
+            at = end
+        words = np.concatenate(found)
+        return words, np.array([len(words)])
+    return _word_hashes(texts)
+
+
+def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     a = _LOWER[raw]
     blank = _BLANK[a]
@@ -114,11 +127,11 @@ def signatures(sets: list[np.ndarray], m: int) -> np.ndarray:
     # only elements of small sets come this far; their permutations are held as arrays, a bounded number at a time
     for lo in range(0, len(elements), 1 << 16):
         hi = lo + (1 << 16)
-        _deeper(flat, low, elements[lo:hi], k0[lo:hi], k1[lo:hi], owner_now[lo:hi], m, whole=len(elements) <= 1 << 16)
+        _deeper(flat, low, elements[lo:hi], k0[lo:hi], k1[lo:hi], owner_now[lo:hi], m)
     return low
 
 
-def _deeper(flat: np.ndarray, low: np.ndarray, elements: np.ndarray, k0: np.ndarray, k1: np.ndarray, owner: np.ndarray, m: int, whole: bool) -> None:
+def _deeper(flat: np.ndarray, low: np.ndarray, elements: np.ndarray, k0: np.ndarray, k1: np.ndarray, owner: np.ndarray, m: int) -> None:
     perm = np.tile(np.arange(m, dtype=np.uint8 if m <= 256 else np.uint16), (len(elements), 1))
     row = np.arange(len(elements))
 

@@ -128,6 +128,12 @@ def test_superminhash_model():
         assert np.allclose(g, h)
 
 
+def test_words_of_long_texts():
+    text = " a bb\nccc  dd\te " * 40
+    whole, part = superminhash.word_hashes([text.encode()]), superminhash.word_hashes([text.encode()], long=17)
+    assert (whole[0] == part[0]).all() and whole[1].tolist() == part[1].tolist()
+
+
 SECRET = st.lists(st.sampled_from(["password", "token", "=", ": ", '"', "abc123", "AKIA", "ABCDEFGHIJKLMNOP", "0123456789abcdef", "deadbeef", " ", "\n", "\n\n", "API_key", "é", "user=bob", "https://x.io/a", "Ab1" * 8, "ſecret=abcdefg"]), max_size=14).map("".join)
 
 

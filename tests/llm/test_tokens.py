@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from loomkv.llm import library_bpe, packing, prefix_bpe, rank_merge, repair
+from loomkv.llm import library_bpe, packing, prefix_bpe, rank_merge, repair, units
 
 MULTI, BYTES, WORDS = (P.path(n) for n in ("byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json", "word_bpe_49k.json"))
 ALPHABET = ["a", "b", "Th", "é", "É", "'s", "'", "  ", " ", "\n", "\t", "\x1c", "\x85", " ", "̈", "Σ", "İ", "1", "½", "<|endoftext|>", "!!", "ﬁ", "日本", "\0", "aaaaaaa", "🙂", " x", "ing"]
@@ -45,6 +45,13 @@ def test_prefix_bpe_is_tiktoken(multi, tik, text):
     assert ids == tik.encode_ordinary(text) and multi.bpe.decode(ids) == text.encode()
 
 
+@settings(max_examples=200, deadline=None)
+@given(odd, st.integers(1, 6))
+def test_long_parts(tik, text, size):
+    cut = list(units.long_parts(text, size))
+    assert "".join(cut) == text and [i for p in cut for i in tik.encode_ordinary(p)] == tik.encode_ordinary(text)
+
+
 def test_prefix_table_appends_and_edits(multi):
     r = random.Random(1)
     for _ in range(150):
