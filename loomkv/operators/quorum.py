@@ -61,7 +61,7 @@ def read(held: DataFrame, responders: list[str]) -> DataFrame:
     from_ = held.where(F.col("replica").isin(responders)).withColumn("place", rank)
     once = V.last_of_writer(from_, "key", "place")
     first = once.groupBy("key", "seq").agg(F.min("place").alias("place"), *[F.first(c).alias(c) for c in ("coord", "value", "clock", "deleted")])
-    return V.reconcile(first, "key")
+    return V.reconcile_few(first, "key")
 
 
 def reply(merged: DataFrame) -> DataFrame:
@@ -72,7 +72,7 @@ def reply(merged: DataFrame) -> DataFrame:
 
 def repairs(merged: DataFrame, held: DataFrame, responders: list[str]) -> DataFrame:
     """replica, key of responders whose set differs from the merged one."""
-    own = V.reconcile(V.last_of_writer(held.where(F.col("replica").isin(responders)), "replica", "key"), "replica", "key").select("replica", "key", "seq", F.lit(1).alias("mine"))
+    own = V.reconcile_few(V.last_of_writer(held.where(F.col("replica").isin(responders)), "replica", "key"), "replica", "key").select("replica", "key", "seq", F.lit(1).alias("mine"))
     wanted = merged.select("key", "seq").withColumn("replica", F.explode(F.array(*map(F.lit, responders))))
     both = wanted.join(own, ["replica", "key", "seq"], "full_outer")
     return both.where(F.col("mine").isNull()).select("replica", "key").union(own.join(merged.select("key", "seq"), ["key", "seq"], "left_anti").select("replica", "key")).distinct()
@@ -81,4 +81,4 @@ def repairs(merged: DataFrame, held: DataFrame, responders: list[str]) -> DataFr
 def apply_remote(held: DataFrame, incoming: DataFrame) -> DataFrame:
     """A replica's sets after one version per key was handed to it; the incoming one arrives last."""
     later = incoming.withColumn("seq", F.col("seq") + F.lit(1 << 60))
-    return V.reconcile(held.unionByName(later), "key").withColumn("seq", F.col("seq") % (1 << 60))
+    return V.reconcile_few(held.unionByName(later), "key").withColumn("seq", F.col("seq") % (1 << 60))

@@ -6,7 +6,7 @@ join on the upper twelve bits of the hash, with the interval as a condition, so
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomkv.functions.hashing import fnv1a64, unsigned
@@ -28,19 +28,32 @@ def remove(ring: DataFrame, node: str) -> DataFrame:
 
 
 def preference(ring: DataFrame, n: int) -> DataFrame:
-    """Per point: from_u, u (its interval, ends included), bucket, owners (the first n distinct nodes clockwise)."""
-    order = Window.orderBy("u", "node")
-    at = ring.withColumns({"idx": F.row_number().over(order), "size": F.count("*").over(Window.partitionBy())})
-    other = at.select(F.col("node").alias("owner"), F.col("idx").alias("j"))
-    near = at.crossJoin(other).groupBy("idx", "owner").agg(F.min(F.pmod(F.col("j") - F.col("idx"), F.col("size"))).alias("d"))
-    lists = near.groupBy("idx").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("d", "owner"))), lambda x: x["owner"]), 1, n).alias("owners"))
-    least, most = F.lit(-(1 << 63)), F.lit((1 << 63) - 1)
-    walked = at.join(lists, "idx").withColumn("before", F.lag("u").over(order))
-    inner = walked.select(F.when(F.col("before").isNull(), least).otherwise(F.col("before") + 1).alias("from_u"), "u", "owners")
-    # past the last point the walk begins again at the first one
-    wrap = walked.where("idx = 1").select("owners").crossJoin(at.agg(F.max("u").alias("last"))).where(F.col("last") < most).select((F.col("last") + 1).alias("from_u"), most.alias("u"), "owners")
-    both = inner.where("from_u <= u").union(wrap)
-    return both.withColumn("bucket", F.explode(F.sequence(_bucket(F.col("from_u")), _bucket(F.col("u")))))
+    """Per point: from_u, u (its interval, ends included), bucket, owners (the first n distinct nodes clockwise).
+
+    The points come to the driver, so that the lists are walked once and not in each query that uses them.
+    """
+    rows = sorted((r["u"], r["node"]) for r in ring.limit(MOST_POINTS + 1).collect())
+    if len(rows) > MOST_POINTS:
+        raise ValueError(f"a ring may have {MOST_POINTS} points")
+    nodes, lists, low = len({n for _, n in rows}), [], -(1 << 63)
+    for k, (u, _) in enumerate(rows):
+        found: list[str] = []
+        for j in range(len(rows)):
+            node = rows[(k + j) % len(rows)][1]
+            if node not in found:
+                found.append(node)
+            if len(found) >= min(n, nodes):
+                break
+        lists.append(found)
+    out = []
+    for (u, _), found in zip(rows, lists):
+        if low <= u:  # of points at one place the first counts
+            out.append((low, u, found))
+            low = u + 1
+    if rows and low < 1 << 63:  # past the last point the walk begins again at the first one
+        out.append((low, (1 << 63) - 1, lists[0]))
+    table = ring.sparkSession.createDataFrame(out, "from_u bigint, u bigint, owners array<string>")
+    return table.withColumn("bucket", F.explode(F.sequence(_bucket(F.col("from_u")), _bucket(F.col("u")))))
 
 
 def _bucket(u: Column) -> Column:

@@ -34,8 +34,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def _stored(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Entries with an expiry on every second one, and the time of the last command."""
-    log = T.command_log(spark, sf)
-    return store.with_expiry(store.present(log), every=2), store.as_of(log)
+    return store.with_expiry(store.present(T.writes(spark, sf)), every=2), store.as_of(T.command_log(spark, sf))
 
 
 def _live(spark: SparkSession, sf: str) -> DataFrame:
@@ -45,7 +44,7 @@ def _live(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {O.COMMANDS} SELECT key, value, seq FROM last_write WHERE op = 'SET'")
 def kv_get_latest(spark, sf):
-    return store.present(T.command_log(spark, sf)).select("key", "value", "seq")
+    return store.present(T.writes(spark, sf)).select("key", "value", "seq")
 
 
 @query(f"WITH {O.COMMANDS} SELECT key, value, seq FROM stored, clock_now WHERE expires_at IS NULL OR now <= expires_at")
@@ -60,8 +59,7 @@ def kv_size_physical(spark, sf):
 
 @query(f"WITH {O.COMMANDS} SELECT key, seq, CAST(date_diff('microsecond', now, ts + to_seconds(ttl_s)) AS BIGINT) AS left_us FROM last_write, clock_now WHERE op = 'SET' AND now <= ts + to_seconds(ttl_s)")
 def kv_ttl_live(spark, sf):
-    log = T.command_log(spark, sf)
-    entries = store.with_now(store.with_expiry(store.present(log)), store.as_of(log))
+    entries = store.with_now(store.with_expiry(store.present(T.writes(spark, sf))), store.as_of(T.command_log(spark, sf)))
     left = F.unix_micros(F.col("expires_at").cast("timestamp")) - F.unix_micros(F.col("now").cast("timestamp"))
     return entries.where(~store.expired(F.col("expires_at"), F.col("now"))).select("key", "seq", left.alias("left_us"))
 
@@ -123,7 +121,7 @@ def kv_set_status(spark, sf):
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Clocks of successive versions of a key."""
-    vs = T.versions(T.command_log(spark, sf))
+    vs = T.versions(T.writes(spark, sf))
     w = Window.partitionBy("key").orderBy("ts", "seq")
     return vs.select("key", "seq", F.lag("clock").over(w).alias("a"), F.col("clock").alias("b")).where("a is not null")
 
@@ -150,23 +148,23 @@ def vc_merge(spark, sf):
 
 @query(f"WITH {O.VERSIONS}, m AS (SELECT key, seq, c0 + (coord = 'n0')::INT AS x0, c1 + (coord = 'n1')::INT AS x1, c2 + (coord = 'n2')::INT AS x2 FROM ver) {_UNPIVOT}")
 def vc_increment(spark, sf):
-    vs = T.versions(T.command_log(spark, sf))
+    vs = T.versions(T.writes(spark, sf))
     return _long(vs.select("key", "seq", clocks.increment(F.col("clock"), F.col("coord")).alias("clock")))
 
 
 @query(f"WITH {O.VERSIONS} SELECT key, node, max(counter)::BIGINT AS counter FROM (SELECT key, 'n0' AS node, c0 AS counter FROM ver UNION ALL SELECT key, 'n1', c1 FROM ver UNION ALL SELECT key, 'n2', c2 FROM ver) WHERE counter > 0 GROUP BY key, node")
 def vc_frontier(spark, sf):
-    return V.frontier(T.versions(T.command_log(spark, sf)), "key")
+    return V.frontier(T.versions(T.writes(spark, sf)), "key")
 
 
 @query(f"WITH {O.VERSIONS}, m AS (SELECT key, 0::BIGINT AS seq, max(c0) + 1 AS x0, max(c1) AS x1, max(c2) AS x2 FROM ver GROUP BY key) {_UNPIVOT}")
 def vc_mint(spark, sf):
-    minted = quorum.mint(T.versions(T.command_log(spark, sf)), "n0")
+    minted = quorum.mint(T.versions(T.writes(spark, sf)), "n0")
     return _long(minted.withColumn("seq", F.lit(0).cast("bigint")))
 
 
 def _siblings(spark: SparkSession, sf: str) -> DataFrame:
-    return V.reconcile(V.last_of_writer(T.versions(T.command_log(spark, sf)), "key"), "key")
+    return V.reconcile_few(V.last_of_writer(T.versions(T.writes(spark, sf)), "key"), "key")
 
 
 @query(f"WITH {O.SURVIVORS} SELECT key, seq, coord, deleted FROM sib")
@@ -183,15 +181,15 @@ def ver_live(spark, sf):
     f"WITH {O.HELD}, s AS (SELECT key, list(seq ORDER BY seq) FILTER (replica = 'n0') AS a, list(seq ORDER BY seq) FILTER (replica = 'n1') AS b FROM own_set GROUP BY key) SELECT key, a IS NOT DISTINCT FROM b AS same FROM s"
 )
 def ver_equal(spark, sf):
-    held = T.replica_versions(T.versions(T.command_log(spark, sf)))
-    own = V.reconcile(V.last_of_writer(held, "replica", "key"), "replica", "key")
+    held = T.replica_versions(T.versions(T.writes(spark, sf)))
+    own = V.reconcile_few(V.last_of_writer(held, "replica", "key"), "replica", "key")
     return V.equal(own.where("replica = 'n0'"), own.where("replica = 'n1'"), "key")
 
 
 def _aged(spark: SparkSession, sf: str) -> DataFrame:
     """Siblings with the second of their tombstone, and now."""
     log = T.command_log(spark, sf)
-    sib = V.reconcile(V.last_of_writer(T.versions(log), "key"), "key").withColumn("deleted_at", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000))
+    sib = V.reconcile_few(V.last_of_writer(T.versions(T.writes(spark, sf)), "key"), "key").withColumn("deleted_at", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000))
     return store.with_now(sib, log.agg(F.max(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000)).alias("now")))
 
 
@@ -273,7 +271,7 @@ def ring_rebuild(spark, sf):
 def _sent(spark: SparkSession, sf: str) -> DataFrame:
     """Writes with their replica set and the nodes that are up at that moment."""
     up = F.array_compact(F.array(*[F.when((F.floor(F.col("seq") / 7) + i) % 4 != 0, F.lit(n)) for i, n in enumerate(T.NODES)]))
-    return T.command_log(spark, sf).where("op <> 'GET'").withColumns({"self": F.col("coord"), "owners": F.array(*map(F.lit, T.NODES)), "up": up})
+    return T.writes(spark, sf).withColumns({"self": F.col("coord"), "owners": F.array(*map(F.lit, T.NODES)), "up": up})
 
 
 @query(f"WITH {O.QUORUM} SELECT seq, acks, CASE WHEN acks >= 3 THEN 'OK' ELSE 'ERR write quorum not met: ' || acks || ' of 3 replicas' END AS reply FROM acked WHERE op = 'SET'")
@@ -292,7 +290,7 @@ def quorum_delete(spark, sf):
 
 
 def _read(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    held = T.replica_versions(T.versions(T.command_log(spark, sf)))
+    held = T.replica_versions(T.versions(T.writes(spark, sf)))
     return quorum.read(held, ["n0", "n1"]), held
 
 
@@ -332,8 +330,8 @@ def hints_remove(spark, sf):
 @query(f"WITH {O.HELD}, a AS (SELECT * FROM own_set WHERE replica = 'n0'), t AS (SELECT max(seq) AS seq FROM ver WHERE coord = 'n2' GROUP BY key), i AS (SELECT * FROM ver WHERE seq IN (SELECT seq FROM t)), u AS (SELECT key, seq, c0, c1, c2, 0 AS late FROM a UNION SELECT key, seq, c0, c1, c2, 1 FROM i) SELECT key, seq FROM u v WHERE NOT EXISTS (SELECT 1 FROM u x WHERE x.key = v.key AND ((x.c0 >= v.c0 AND x.c1 >= v.c1 AND x.c2 >= v.c2 AND (x.c0 > v.c0 OR x.c1 > v.c1 OR x.c2 > v.c2)) OR (x.seq = v.seq AND x.late < v.late)))")
 def replica_set(spark, sf):
     """n0 is handed the last version that n2 wrote of each key."""
-    vs = T.versions(T.command_log(spark, sf))
-    held = V.reconcile(V.last_of_writer(T.replica_versions(vs).where("replica = 'n0'").drop("replica"), "key"), "key")
+    vs = T.versions(T.writes(spark, sf))
+    held = V.reconcile_few(V.last_of_writer(T.replica_versions(vs).where("replica = 'n0'").drop("replica"), "key"), "key")
     incoming = V.last_of_writer(vs.where("coord = 'n2'"), "key").select(*held.columns)
     return quorum.apply_remote(held, incoming).select("key", "seq")
 
@@ -341,8 +339,8 @@ def replica_set(spark, sf):
 @query(f"WITH {O.HELD} SELECT replica, key, seq, deleted FROM own_set")
 def replica_get(spark, sf):
     """What each of two replicas holds, without routing."""
-    held = T.replica_versions(T.versions(T.command_log(spark, sf))).where("replica in ('n0', 'n1')")
-    return V.reconcile(V.last_of_writer(held, "replica", "key"), "replica", "key").select("replica", "key", "seq", "deleted")
+    held = T.replica_versions(T.versions(T.writes(spark, sf))).where("replica in ('n0', 'n1')")
+    return V.reconcile_few(V.last_of_writer(held, "replica", "key"), "replica", "key").select("replica", "key", "seq", "deleted")
 
 
 # --- anti-entropy

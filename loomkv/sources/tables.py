@@ -30,6 +30,12 @@ def command_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_commands(table(spark, sf_dir, "events"))
 
 
+def writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log's SET and DEL commands; the filter is on the stored column, so that it reaches the scan."""
+    e = table(spark, sf_dir, "events")
+    return as_commands(e.where(F.col("event_type").isNull() | ~F.col("event_type").isin("view", "click")))
+
+
 def visible(seq, observer: int):
     """Whether a write has reached an observer."""
     return (F.floor(seq / 3) + observer) % 3 != 0
@@ -37,22 +43,20 @@ def visible(seq, observer: int):
 
 def versions(log: DataFrame) -> DataFrame:
     """seq, ts, key, coord, value, deleted, clock of every write; a clock holds what its coordinator had seen by then."""
-    writes = log.where(F.col("op") != "GET")
-    by_key = Window.partitionBy("key").orderBy("ts", "seq")
-    own = F.count("*").over(Window.partitionBy("key", "coord").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0))
-    writes = writes.withColumn("own", own)
-    before = by_key.rowsBetween(Window.unboundedPreceding, -1)
-    for o in range(3):
-        for m in range(3):
-            if o != m:
-                seen = F.when((F.col("coord") == NODES[m]) & visible(F.col("seq"), o), F.col("own"))
-                writes = writes.withColumn(f"s{o}{m}", F.max(seen).over(before))
+    writes_ = log.where(F.col("op") != "GET")
+    by_key = Window.partitionBy("key").orderBy("ts", "seq")  # one shuffle and one sort serve all of these
+    upto, before = by_key.rowsBetween(Window.unboundedPreceding, 0), by_key.rowsBetween(Window.unboundedPreceding, -1)
+    counts = {f"k{m}": F.count_if(F.col("coord") == n).over(upto) for m, n in enumerate(NODES)}
+    own = F.coalesce(*[F.when(F.col("coord") == n, F.col(f"k{m}")) for m, n in enumerate(NODES)])
+    writes_ = writes_.withColumns(counts).withColumn("own", own)
+    seen = {(o, m): F.when((F.col("coord") == NODES[m]) & visible(F.col("seq"), o), F.col("own")) for o in range(3) for m in range(3) if o != m}
+    writes_ = writes_.withColumns({f"s{o}{m}": F.max(x).over(before) for (o, m), x in seen.items()})
     clock = None
     for o in range(3):
         entries = F.array(*[F.struct(F.lit(NODES[m]).alias("key"), (F.col("own") if m == o else F.col(f"s{o}{m}")).alias("value")) for m in range(3)])
         mine = F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
         clock = F.when(F.col("coord") == NODES[o], mine) if clock is None else clock.when(F.col("coord") == NODES[o], mine)
-    return writes.select("seq", "ts", "key", "coord", "value", (F.col("op") == "DEL").alias("deleted"), clock.alias("clock"))
+    return writes_.select("seq", "ts", "key", "coord", "value", (F.col("op") == "DEL").alias("deleted"), clock.alias("clock"))
 
 
 def replica_versions(vs: DataFrame) -> DataFrame:
