@@ -62,43 +62,33 @@ class LibraryEncoder:
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if self.drops_space:
-            return [b"".join(x) for x in self._by_words(texts)]
-        out: list[bytes | None] = [None] * len(texts)
-        cuts, missing = {}, {}
-        for i, t in enumerate(texts):
-            if not t:
-                out[i] = b""
-            elif "\0" in t or any(s in t for s in self.added):
-                continue
-            else:
-                us = units.cut(t)
-                known, new = self.kept.recall(set(us))
-                if all(map(units.is_regular, new)):
-                    cuts[i] = us, known
-                    missing |= dict.fromkeys(new)
-        self._ask(missing)
-        for i, (us, known) in cuts.items():
-            get = missing.get
-            out[i] = b"".join([v if (v := known.get(u)) is not None else get(u) for u in us])
+        out = [self._by_units(t) if t else b"" for t in texts]
         slow = [i for i, v in enumerate(out) if v is None]
         for i, v in zip(slow, self._whole([texts[i] for i in slow])):
             out[i] = v
         return out
 
-    def _by_words(self, texts: list[str]) -> Iterator[list[bytes]]:
-        for t in texts:
-            ids: list[bytes] = []
-            for part in parts(t):
-                us = units.words(part)
-                got = list(map(self.kept.get, us))
-                if None in got:
-                    known, new = self.kept.recall({u for u, v in zip(us, got) if v is None})
-                    fresh = dict.fromkeys(new)
-                    self._ask(fresh)
-                    got = [v if v is not None else known[u] if u in known else fresh[u] for u, v in zip(us, got)]
-                ids += got
-            yield ids
+    def _by_units(self, text: str) -> bytes | None:
+        """None if the text must be encoded whole."""
+        if self.drops_space:
+            cuts = map(units.words, parts(text))
+        elif "\0" in text or any(s in text for s in self.added):
+            return None
+        else:
+            cuts = iter([units.cut(text)])
+        ids: list[bytes] = []
+        for us in cuts:
+            got = list(map(self.kept.get, us))
+            if None in got:
+                known, new = self.kept.recall({u for u, v in zip(us, got) if v is None})
+                if not self.drops_space and not all(map(units.is_regular, new)):
+                    return None
+                fresh = dict.fromkeys(new)
+                self._ask(fresh)
+                known |= fresh
+                got = [known[u] if v is None else v for u, v in zip(us, got)]
+            ids += got
+        return b"".join(ids)
 
     def _ask(self, missing: dict[str, bytes | None]) -> None:
         """Fill in what the library gives for each unit, of whose matches many are known.

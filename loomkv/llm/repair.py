@@ -165,7 +165,22 @@ class Shard:
         self.seq = take(kind, symbols)
 
     def ids(self) -> np.ndarray:
-        return expand(self.seq, self.rules, self.base)
+        """All ids, from a table of every rule's expansion."""
+        made: list[np.ndarray] = []
+        for a, b in self.rules.tolist():
+            made.append(np.concatenate([made[x - self.base] if x >= self.base else np.array([x], np.uint32) for x in (a, b)]))
+        inner = self.seq >= self.base
+        which = np.where(inner, self.seq.astype(np.int64) - self.base, -1)
+        lengths = np.append(self.lengths.astype(np.int64), 1)  # the last entry is for terminals
+        starts = np.append(np.cumsum(lengths[:-1]) - lengths[:-1], 0)
+        sizes = lengths[which]
+        ends = np.cumsum(sizes)
+        out = np.repeat(self.seq.astype(np.uint32), sizes)
+        many = np.repeat(inner, sizes)
+        at = (np.arange(len(out)) + np.repeat(starts[which] - (ends - sizes), sizes))[many]
+        if len(at):
+            out[many] = np.concatenate(made)[at]
+        return out
 
     def read(self, start: int, length: int) -> np.ndarray:
         """Ids start .. start + length, from the symbols that cover them."""
