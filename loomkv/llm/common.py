@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -13,12 +15,49 @@ from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomkv.shipping import ship
+from loomkv import shipping
 
 #: ASCII white space of the word rule `[^\x20\x09-\x0D]+`.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
+#: Bytes of text in an Arrow batch for Python, where the session has Spark's own limit, 64 MB.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+_held: dict[str, object] = {}
+
+
+def ship(spark: SparkSession) -> None:
+    """Ready the session for Python tasks: the package on every executor, and batches that are small however long texts are."""
+    shipping.ship(spark)
+    if spark.conf.get(_BATCH) == "67108864b":
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
+def hold(name: str, make: Callable[[], object]) -> object:
+    """What a Python worker keeps for its next batches and tasks; it holds one such thing at a time."""
+    if name not in _held:
+        let_go()
+        _held[name] = make()
+    return _held[name]
+
+
+def let_go() -> None:
+    """Drop what is held, and give free memory back to the system: workers outlive their tasks."""
+    _held.clear()
+    give_back()
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only glibc has it
+        pass
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
     sc: SparkContext = spark.sparkContext
@@ -115,8 +154,8 @@ class TwoGenerations(dict):
             self.clear()
 
 
-def arrow_map(df: DataFrame, batch: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
-    """mapInArrow by a function from a batch to its output columns."""
+def arrow_map(df: DataFrame, batch: Callable[[pa.RecordBatch], dict | None], schema: str, holds: bool = False) -> DataFrame:
+    """mapInArrow by a function from a batch to its output columns. holds: the function keeps something by hold()."""
     ship(df.sparkSession)
     fields = df.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -124,10 +163,13 @@ def arrow_map(df: DataFrame, batch: Callable[[pa.RecordBatch], dict | None], sch
     out = to_arrow_schema(fields)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not holds:
+            let_go()
         for b in it:
             got = batch(b)
             if got is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in out], schema=out)
+        give_back()
 
     return df.mapInArrow(run, schema)
 

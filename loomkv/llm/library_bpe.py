@@ -13,7 +13,7 @@ import numpy as np
 import regex
 
 from . import units
-from .common import TwoGenerations
+from .common import TwoGenerations, hold
 
 #: Characters of text that are cut into units at once.
 PART = 1 << 22
@@ -75,7 +75,7 @@ class LibraryEncoder:
         elif "\0" in text or any(s in text for s in self.added):
             return None
         else:
-            cuts = iter([units.cut(text)])
+            cuts = map(units.cut, units.long_parts(text, PART))
         ids: list[bytes] = []
         for us in cuts:
             got = list(map(self.kept.get, us))
@@ -117,15 +117,9 @@ class LibraryEncoder:
         self.kept.update(missing)
 
 
-_encoders: dict[bytes, LibraryEncoder] = {}
-
-
 def encoder(file: bytes) -> LibraryEncoder:
-    """One for each file and process."""
-    key = hashlib.sha256(file).digest()
-    if key not in _encoders:
-        _encoders[key] = LibraryEncoder(file)
-    return _encoders[key]
+    """One for each file, as long as the worker's tasks use it."""
+    return hold("library " + hashlib.sha256(file).hexdigest(), lambda: LibraryEncoder(file))
 
 
 def small_batches(texts: Iterable[str], chars: int = 1 << 21) -> Iterator[list[str]]:

@@ -85,7 +85,7 @@ def encode_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, length: int
                 k += 1
         return out
 
-    return arrow_map(pick(docs, "doc_id", "text"), batch, PIECES + ", ids binary" * with_ids)
+    return arrow_map(pick(docs, "doc_id", "text"), batch, PIECES + ", ids binary" * with_ids, holds=True)
 
 
 def pack_pieces(pieces: DataFrame, capacity: int, group_pieces: int = 4096, seed: int = 7) -> DataFrame:

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from . import units
-from .common import TwoGenerations, arrow_map, pick
+from .common import TwoGenerations, arrow_map, hold, pick
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
@@ -208,7 +208,7 @@ class TextEncoder:
     def __init__(self, ranks: bytes, pattern: str, keep: int = 300_000):
         self.bpe = PrefixBPE(parse_ranks(ranks))
         self.pattern = regex.compile(pattern)
-        gc.freeze()  # the tables live as long as the process; else each collection walks them
+        gc.freeze()  # else each collection walks the tables
         self.kept, self.kept_pieces = TwoGenerations(keep), TwoGenerations(keep // 3)
 
     def pieces(self, text: str) -> bytes:
@@ -249,15 +249,8 @@ class TextEncoder:
         return self.pieces(text)
 
 
-_encoders: dict = {}
-
-
 def _encoder(ranks: bytes, pattern: str) -> TextEncoder:
-    key = (hashlib.sha256(ranks).digest(), pattern)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = TextEncoder(ranks, pattern)
-    return _encoders[key]
+    return hold("prefix " + hashlib.sha256(ranks + pattern.encode()).hexdigest(), lambda: TextEncoder(ranks, pattern))
 
 
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -277,4 +270,4 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             out["decoded_sha256"].append(hashlib.sha256(enc.bpe.decode(np.frombuffer(ids, "<u4"))).hexdigest())
         return out
 
-    return arrow_map(pick(docs, "doc_id", "text"), batch, SCHEMA)
+    return arrow_map(pick(docs, "doc_id", "text"), batch, SCHEMA, holds=True)

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from . import units
-from .common import TwoGenerations, arrow_map, pick
+from .common import TwoGenerations, arrow_map, hold, pick
 from .library_bpe import parts, small_batches
 
 SCHEMA = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"
@@ -142,15 +142,8 @@ class TokenCounter:
         return out
 
 
-_counters: dict[bytes, TokenCounter] = {}
-
-
 def _counter(file: bytes) -> TokenCounter:
-    key = hashlib.sha256(file).digest()
-    if key not in _counters:
-        _counters.clear()
-        _counters[key] = TokenCounter(file)
-    return _counters[key]
+    return hold("ranks " + hashlib.sha256(file).hexdigest(), lambda: TokenCounter(file))
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048) -> DataFrame:
@@ -164,4 +157,4 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048) -> Dat
         size = pc.binary_length(b.column("text"))
         return {"doc_id": b.column("doc_id"), "n_bytes": size.cast("int64"), "n_tokens": counts, "over_limit": [n > limit for n in counts]}
 
-    return arrow_map(pick(docs, "doc_id", "text"), batch, SCHEMA)
+    return arrow_map(pick(docs, "doc_id", "text"), batch, SCHEMA, holds=True)
