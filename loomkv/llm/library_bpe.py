@@ -41,7 +41,7 @@ class LibraryEncoder:
     the slow path.
     """
 
-    def __init__(self, file: bytes, keep: int = 300_000):
+    def __init__(self, file: bytes, keep: int = 350_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -51,7 +51,7 @@ class LibraryEncoder:
         self.drops_space = spec["pre_tokenizer"]["type"] == "Sequence"
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the byte-level alphabet: others follow from 256 on
         self.byte_char = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in plain)}
-        self.kept, self.kept_words = TwoGenerations(keep), TwoGenerations(keep // 2)
+        self.kept = TwoGenerations(keep)
         if self.drops_space:
             self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         else:
@@ -81,40 +81,44 @@ class LibraryEncoder:
             got = list(map(self.kept.get, us))
             if None in got:
                 known, new = self.kept.recall({u for u, v in zip(us, got) if v is None})
-                if not self.drops_space and not all(map(units.is_regular, new)):
-                    return None
                 fresh = dict.fromkeys(new)
-                self._ask(fresh)
+                if not self._ask(fresh):
+                    return None
                 known |= fresh
                 got = [known[u] if v is None else v for u, v in zip(us, got)]
             ids += got
         return b"".join(ids)
 
-    def _ask(self, missing: dict[str, bytes | None]) -> None:
-        """Fill in what the library gives for each unit, of whose matches many are known.
+    def _ask(self, missing: dict[str, bytes | None]) -> bool:
+        """Fill in what the library gives for each unit, of whose matches many are known; false if one is irregular.
 
         Only characters of the first Unicode blocks are split here: their classes and cases never change.
         """
-        if not missing:
-            return
-        whole, split = [], {}
+        model, char, drops, kept, old = self.tokenizer.model.tokenize, self.byte_char, self.drops_space, self.kept, self.kept.old
+        whole, fresh = [], {}
+
+        def word(w: str) -> bytes:
+            ids = kept.get(w) or fresh.get(w) or old.get(w)
+            if ids is None:
+                raw = w if w.isalnum() and w.isascii() else "".join([char[b] for b in w.encode()])
+                ids = fresh[w] = array("I", [t.id for t in model(raw)]).tobytes()
+            return ids
+
         for u in missing:
-            if max(u, default=" ") < "\u0130" and "<|" not in u and (u.isascii() or not self.drops_space or unicodedata.is_normalized("NFC", u)):
-                split[u] = self.words.findall(u.lower() if self.drops_space else u)
+            if (u[1:] if u[:1] == " " else u).isalpha() and u.isascii():
+                missing[u] = word(u.lower() if drops else u)
+            elif not drops and not units.is_regular(u):
+                return False
+            elif max(u, default=" ") < "\u0130" and "<|" not in u and (not drops or u.isascii() or unicodedata.is_normalized("NFC", u)):
+                missing[u] = b"".join([word(w) for w in self.words.findall(u.lower() if drops else u)])
             else:
                 whole.append(u)
-        known, new = self.kept_words.recall({w for ws in split.values() for w in ws})
-        model, char = self.tokenizer.model.tokenize, self.byte_char
-        fresh = {w: array("I", [t.id for t in model(w if w.isalnum() and w.isascii() else "".join([char[b] for b in w.encode()]))]).tobytes() for w in new}
-        self.kept_words.room()
-        self.kept_words.update(fresh)
-        known |= fresh
-        for u, ws in split.items():
-            missing[u] = b"".join([known[w] for w in ws])
         for u, v in zip(whole, self._whole(whole)):
             missing[u] = v
+        kept.update(fresh)
         self.kept.room()
         self.kept.update(missing)
+        return True
 
 
 def encoder(file: bytes) -> LibraryEncoder:

@@ -47,7 +47,7 @@ def _frequent(seq: np.ndarray, width: int, least: int) -> tuple[np.ndarray, np.n
     return keys, ordered[starts[often]], counts[often]
 
 
-def compress(seq: np.ndarray, base: int, width: int, most_rules: int, least: int = 32, per_round: int = 1024, rounds: int = 16) -> tuple[np.ndarray, np.ndarray]:
+def compress(seq: np.ndarray, base: int, width: int, most_rules: int, least: int = 32, per_round: int = 2048, rounds: int = 16) -> tuple[np.ndarray, np.ndarray]:
     """Rules (pairs of symbols; rule k makes symbol base + k) and the shortened sequence.
 
     It ends when no pair occurs `least` times, a round saves under 1 % of the symbols, or the rules or rounds are used up.
