@@ -3,7 +3,8 @@
 Strong kinds (assign, access, hex) are always reported. Weak kinds are not secrets by themselves: an identifier, a
 random-looking blob, an endpoint. A weak span is reported only if a complementary part lies near it in the same scope:
 scopes are blocks of text between blank lines, and near is a gap of at most `reach` code points. The join of the
-parts' widened intervals is a sweep in order of their starts.
+parts' widened intervals is a sweep in order of their starts, and one back from the end; links are those of each part
+with its nearest complements on either side.
 
 Defined results: a null or empty text has no spans; repeated rows get equal results; a text of any length is searched
 whole; an empty table gives no rows. Extra columns are ignored.
@@ -74,27 +75,38 @@ def _apart(spans: list[Span], taken: list[tuple[int, int]]) -> list[Span]:
 
 
 def link(spans: list[Span], text: str, reach: int) -> list[tuple[Span, Span]]:
-    """Pairs of complementary parts in one scope with a gap of at most `reach`, each part with the nearest before it of each role.
+    """Pairs of complementary parts in one scope with a gap of at most `reach`: each part with the nearest before it and the nearest after it of each role.
 
-    The nearest one decides whether any is in reach, so pairs stay in proportion to the spans.
+    On either side the nearest one decides whether any is in reach, so a part is linked here exactly if the join of all
+    pairs links it, and pairs stay in proportion to the spans.
     """
     if len(spans) < 2:
         return []
     borders = deque(m.start() for m in SCOPE.finditer(text))
-    last: dict[str, Span] = {}
-    out = []
+    parts, scope = [], 0
     for x in sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]))):
         while borders and borders[0] <= x[1]:  # a new scope begins
             borders.popleft()
-            last = {}
-        role = ROLE[x[0]]
+            scope += 1
+        parts.append((scope, ROLE[x[0]], x))
+    out: dict[tuple[Span, Span], None] = {}
+    last: dict[tuple[int, str], Span] = {}  # the one that ends last
+    for scope, role, x in parts:
         for other in COMPLEMENT[role]:
-            y = last.get(other)
+            y = last.get((scope, other))
             if y is not None and x[1] - y[2] <= reach:
-                out.append((y, x))
-        if role not in last or last[role][2] <= x[2]:
-            last[role] = x
-    return out
+                out[y, x] = None
+        y = last.get((scope, role))
+        if y is None or y[2] <= x[2]:
+            last[scope, role] = x
+    first: dict[tuple[int, str], Span] = {}  # the one that starts first
+    for scope, role, x in reversed(parts):
+        for other in COMPLEMENT[role]:
+            y = first.get((scope, other))
+            if y is not None and y[1] - x[2] <= reach:
+                out[x, y] = None
+        first[scope, role] = x
+    return list(out)
 
 
 def find(text: str, reach: int = 200) -> tuple[list[Span], list[Span], list[tuple[Span, Span]]]:
@@ -105,7 +117,7 @@ def find(text: str, reach: int = 200) -> tuple[list[Span], list[Span], list[tupl
     if not weak and len(strong) < 2:
         return strong, strong, []
     links = link(strong + weak, text, reach)
-    if weak:  # the nearest part may stand after it, too: the links hold both directions
+    if weak:
         linked = {x for pair in links for x in pair}
         weak = [x for x in weak if x in linked]
     return sorted(strong, key=order), sorted(strong + weak, key=order), links
