@@ -37,38 +37,53 @@ _CLASS[97:123] = 5
 _CLASS[128:] = 5
 
 
-def _parts(texts: list[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
-    """Runs of (owner, bytes) of about a megabyte; a long text lies in several parts that overlap by two bytes."""
-    owners, run, n = [], [], 0
+def _parts(texts: list[bytes]) -> Iterator[tuple[list[int], list[bytes], list[int]]]:
+    """Runs of (owner, bytes, overlap) of about a megabyte; a long text lies in several parts, cut before white space, and each holds `overlap` bytes of the next."""
+    owners, run, over, n = [], [], [], 0
     for i, t in enumerate(texts):
-        for at in range(0, max(1, len(t)), PART):
-            piece = t[at : at + PART + 2]
+        at = 0
+        while True:
+            end = len(t) if len(t) - at <= PART else at + PART
+            if end < len(t):  # a word longer than a part is cut all the same
+                blank = max(t.rfind(s, at + 1, end + 1) for s in (b" ", b"\t", b"\n", b"\v", b"\f", b"\r"))
+                end = blank if blank > 0 else end
+            piece = t[at : end + 2]
             if run and n + len(piece) > PART:
-                yield owners, run
-                owners, run, n = [], [], 0
+                yield owners, run, over
+                owners, run, over, n = [], [], [], 0
             owners.append(i)
             run.append(piece)
+            over.append(len(piece) - (end - at))
             n += len(piece)
+            at = end
+            if at >= len(t):
+                break
     if run:
-        yield owners, run
+        yield owners, run, over
 
 
 def terms(texts: list[bytes]) -> np.ndarray:
     """Counts, a row per text: hashed trigrams, then the signs (repeated words, words, capitals, letters, digits, marks, white space, distinct words)."""
     out = np.zeros((len(texts), DIMS + SIGNS), np.float32)
-    for owners, run in _parts(texts):
+    seen: dict[int, np.ndarray] = {}  # of texts in several parts: the words so far, and the last one
+    last: dict[int, np.uint64] = {}
+    for owners, run, over in _parts(texts):
         n = len(run)
         a = np.frombuffer(b" \n".join(run) + b" \n", np.uint8)
         sizes = np.array([len(t) + 2 for t in run])
         row = np.repeat(np.arange(n), sizes)
+        after = np.zeros(len(a), bool)  # bytes that the next part counts
+        for end, k in zip(np.cumsum(sizes) - 2, over):
+            after[end - k : end] = True
         x = a.astype(np.uint32)
         h = (x[:-2] * np.uint32(0x9E3779B1)) ^ (x[1:-1] * np.uint32(0x85EBCA77)) ^ (x[2:] * np.uint32(0xC2B2AE3D))
         h = (h ^ (h >> np.uint32(15))) * np.uint32(0x27D4EB2F)
-        inside = row[:-2] == row[2:]
+        inside = (row[:-2] == row[2:]) & ~after[:-2]
         counts = np.bincount(row[:-2][inside] * DIMS + (h[inside] >> np.uint32(21)), minlength=n * DIMS).reshape(n, DIMS)
         kind = _CLASS[a]
+        kind[after] = 0
         signs = np.bincount(row * 6 + kind, minlength=n * 6).reshape(n, 6)
-        blank = kind == 1
+        blank = (kind == 1) | after
         start = ~blank
         start[1:] &= blank[:-1]
         starts = np.flatnonzero(start)
@@ -84,6 +99,15 @@ def terms(texts: list[bytes]) -> np.ndarray:
             order = np.lexsort((total, owner))
             fresh = np.append(True, (total[order][1:] != total[order][:-1]) | (owner[order][1:] != owner[order][:-1]))
             more[:, 7] = np.bincount(owner[order][fresh], minlength=n)
+            for j, i in enumerate(owners):
+                if len(texts[i]) > PART:
+                    lo, hi = np.searchsorted(owner, [j, j + 1])
+                    if lo < hi:
+                        known = seen.get(i, total[:0])
+                        seen[i] = np.union1d(known, total[lo:hi])
+                        more[j, 7] = len(seen[i]) - len(known)
+                        more[j, 0] += last.get(i) == total[lo]
+                        last[i] = total[hi - 1]
         np.add.at(out, np.array(owners), np.concatenate([counts, more], axis=1).astype(np.float32))
     return out
 

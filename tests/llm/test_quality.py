@@ -111,6 +111,16 @@ def test_op7_exact_vote(labelled):
         assert abs((w * model.labels[top]).sum() / w.sum() - s) < 2e-3
 
 
+@pytest.mark.parametrize("part", [7, 40, 333])
+def test_terms_of_long_texts(monkeypatch, part):
+    """A text taken in parts has the counts of the text taken whole."""
+    texts = [b"aa bb bb cc\n" * 60, b"", b"x Y1 y. " * 90 + b"end", "é ß\t日本 ".encode() * 30, b"one two", b" \n" * 50]
+    whole = quality_knn.terms(texts)
+    monkeypatch.setattr(quality_knn, "PART", part)
+    assert (quality_knn.terms(texts) == whole).all()
+    assert whole[0, -1] == 3
+
+
 def test_op7_odd(spark, docs, empty, texts):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     model = quality_knn.fit(docs, none)
