@@ -79,6 +79,7 @@ def kv_get(spark, sf):
 
 @query(f"WITH {O.COMMANDS} SELECT key, value, seq FROM stored WHERE key NOT IN (SELECT key FROM command_log WHERE op = 'DEL' AND ttl_s > 5400)")
 def kv_delete(spark, sf):
+    """A delete request of some keys: those with a DEL of ttl_s > 5400, not of every DEL in the log. The operator takes any set of keys; the SQL names the same subset, so that it shows the operator and not the log's whole replay."""
     gone = T.command_log(spark, sf).where("op = 'DEL' and ttl_s > 5400").select("key")
     return store.delete(_stored(spark, sf)[0], gone).select("key", "value", "seq")
 
@@ -92,6 +93,7 @@ def kv_delete_if(spark, sf):
 
 @query(f"WITH {O.COMMANDS}, half AS (SELECT key, max(value) AS v FROM command_log WHERE op = 'SET' AND coord = 'n0' GROUP BY key) SELECT coalesce(s.key, h.key) AS key, greatest(s.value, h.v) AS value, h.key IS NULL AND s.expires_at IS NOT NULL AS has_expiry FROM stored s FULL JOIN half h ON s.key = h.key")
 def kv_update_replica(spark, sf):
+    """The table merged with what one coordinator took: the SETs of n0, which is every event_id divisible by three, so a third of the log's. A merge's input is one peer's entries; the SQL names the same one."""
     incoming = T.command_log(spark, sf).where("op = 'SET' and coord = 'n0'").groupBy("key").agg(F.max("value").alias("value"))
     out = store.update(_stored(spark, sf)[0], incoming, F.greatest)
     return out.select("key", "value", F.col("expires_at").isNotNull().alias("has_expiry"))
