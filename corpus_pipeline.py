@@ -2,14 +2,15 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all documents that its predecessor kept. All stages but the last
 return the columns of documents. Empty tables pass through every stage; null and empty texts are rejected by the
-first two stages.
+first two stages. Verdicts of the rules and of near-dedup are those of the row, whatever its doc_id: a row without one
+is rejected like others. After near-dedup each doc_id has one row; of equal rows that all lack a doc_id all stay.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomkv.llm.common import materialize, once, without_ids
+from loomkv.llm.common import materialize, once, row_key, without_rows
 from loomkv.llm.near_dup import near_duplicates
 from loomkv.llm.packing import pack
 from loomkv.llm.quality_knn import fit, kept_by_quality
@@ -24,13 +25,16 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither fail the base rules nor lie outside their language's and source's robust ellipsoid."""
-    return without_ids(docs, quality_rules(docs).where("not kept"))
+    keyed = docs.withColumn("_row", row_key("doc_id", "lang", "source", "text"))
+    found = quality_rules(docs.withColumn("doc_id", row_key("doc_id", "lang", "source", "text")))
+    return without_rows(keyed, found.where("not kept").withColumnRenamed("doc_id", "_row"), "_row").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8): that of the smallest doc_id."""
-    found = near_duplicates(docs, k=5, percent=80)
-    return once(without_ids(docs, found.where("not kept")))
+    keyed = docs.withColumn("_row", row_key("doc_id", "text"))
+    found = near_duplicates(keyed, k=5, percent=80, carry="_row")
+    return once(without_rows(keyed, found.where("not kept"), "_row").select(*docs.columns))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import SparkContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomkv import shipping
@@ -174,14 +174,19 @@ def arrow_map(df: DataFrame, batch: Callable[[pa.RecordBatch], dict | None], sch
     return df.mapInArrow(run, schema)
 
 
-#: doc_ids that may be broadcast, 8 bytes each; beyond it joins are by shuffle.
+#: doc_ids, 8 bytes each, or keys of rows, 32, that may be broadcast; beyond it joins are by shuffle.
 BROADCAST_IDS = 1_000_000
 
 
-def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose doc_id isn't among the ids; rows that share a doc_id share its fate, and null ones stay."""
-    ids = materialize(ids.select("doc_id").distinct(), "without")
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
+def row_key(*names: str) -> Column:
+    """A digest of the named columns, never null: rows that are alike in them share it, null values are values like others."""
+    return F.md5(F.concat_ws(",", *[F.coalesce(F.md5(F.col(n).cast("string")), F.lit("null")) for n in names]))
+
+
+def without_rows(docs: DataFrame, rejected: DataFrame, key: str) -> DataFrame:
+    """The documents whose key isn't among the rejected ones: each row follows its own verdict, with any doc_id or none."""
+    rejected = materialize(rejected.select(key).distinct(), "without")
+    return docs.join(F.broadcast(rejected) if rejected.count() <= BROADCAST_IDS else rejected, key, "left_anti").select(*docs.columns)
 
 
 def once(docs: DataFrame) -> DataFrame:

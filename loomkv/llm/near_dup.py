@@ -49,11 +49,11 @@ def _digest(s: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
 
 
-def sketches(docs: DataFrame, k: int, m: int, bands: int) -> DataFrame:
-    """doc_id, n_shingles, digest (null for an empty set), bands, sig. Sets that the batch has met are signed once."""
+def sketches(docs: DataFrame, k: int, m: int, bands: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, digest (null for an empty set), bands, sig, and string columns carried along. Sets that the batch has met are signed once."""
 
     def batch(b: pa.RecordBatch) -> dict:
-        out: dict = {"doc_id": b.column("doc_id"), "n_shingles": [], "digest": [], "bands": [], "sig": []}
+        out: dict = {"doc_id": b.column("doc_id"), "n_shingles": [], "digest": [], "bands": [], "sig": [], **{c: b.column(c) for c in carry}}
         for _, raw in _blocks(b):
             sets = shingle_sets(raw, k)
             digests = [_digest(s) for s in sets]
@@ -67,7 +67,8 @@ def sketches(docs: DataFrame, k: int, m: int, bands: int) -> DataFrame:
             out["sig"] += [None if d is None else shorts[signed[d]].tobytes() for d in digests]
         return out
 
-    return arrow_map(pick(docs, "doc_id", "text"), batch, "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, sig binary")
+    schema = "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, sig binary" + "".join(f", `{c}` string" for c in carry)
+    return arrow_map(pick(docs, "doc_id", "text", *carry), batch, schema)
 
 
 def _estimated(pairs: DataFrame, reps: DataFrame, m: int, threshold: float) -> DataFrame:
@@ -111,10 +112,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     return arrow_map(both.select("a", "b", "s_a", "s_b"), batch, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, m: int = 128, bands: int = 32) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every document."""
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, m: int = 128, bands: int = 32, carry: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every document; carry: a string column that stays with each row."""
     threshold = percent / 100
-    rows = materialize(sketches(docs, k, m, bands), "sketches")
+    extra = (carry,) if carry else ()
+    rows = materialize(sketches(docs, k, m, bands, extra), "sketches")
     classes = materialize(rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles")), "classes")
     own = classes.select("digest", F.col("rep"))
     reps = rows.join(own.withColumnRenamed("rep", "doc_id"), ["digest", "doc_id"]).dropDuplicates(["digest"]).select(F.col("doc_id").alias("rep"), "n_shingles", "bands", "sig")
@@ -142,6 +144,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, m: int = 128
         links = links.union(same_id.join(repeated, same_id["b"] == repeated["doc_id"]).select("a", "b"))
     found = components(links.union(more))
     named = classes.join(found, classes["rep"] == found["node"], "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
+    out = rows.select("doc_id", "n_shingles", "digest", *extra).join(named, "digest", "left")
     comp = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", comp.alias("component_id"), (F.col("doc_id").eqNullSafe(comp)).alias("kept"))
+    return out.select("doc_id", "n_shingles", comp.alias("component_id"), (F.col("doc_id").eqNullSafe(comp)).alias("kept"), *extra)

@@ -158,3 +158,17 @@ def test_pipeline_of_nothing(spark, tmp_path, empty, labelled):
     empty.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
     labelled[1].write.parquet(str(tmp_path / "labels.parquet"))
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_verdicts_are_the_rows_own(spark, make_docs):
+    """Rejected rows without a doc_id go, and a row that is kept doesn't share the fate of another one with its doc_id."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(2)
+    good = [" ".join(r.choice(["lorem", "ipsum", "dolor", "sit", "amet", "elit", "sed", "nunc"]) for _ in range(60)) for _ in range(3)]
+    texts, ids = [*good, "too few", "too few words", "few"], [1, 2, None, None, 2, 3]
+    got = [(x.doc_id, x.text) for x in pipeline.rules(spark, make_docs(texts, ids), "").collect()]
+    assert sorted(got, key=str) == sorted(zip(ids[:3], good), key=str)
+    df = make_docs([*good[:2], good[0], good[2]], [1, 2, None, None])
+    out = pipeline.near_dedup(spark, df, "")
+    assert sorted(((x.doc_id, x.text) for x in out.collect()), key=str) == sorted([(1, good[0]), (2, good[1]), (None, good[2])], key=str)
+    assert out.columns == df.columns
