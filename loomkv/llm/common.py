@@ -10,6 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -84,47 +85,98 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def plain_path(uri: str) -> str:
-    """The operating system's path of a file: URI, for files that Python itself reads and writes on shared storage."""
-    return uri[len("file:") :].replace("//", "/", 1) if uri.startswith("file:") else uri
-
-
 def pick(docs: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns can't clash; a null text becomes empty."""
     return docs.select(*[F.coalesce(F.col("text"), F.lit("")).alias("text") if n == "text" else F.col(n) for n in names])
 
 
-def range_cuts(keys: DataFrame, key: str, bins: int) -> list[int]:
-    """At most bins - 1 ascending cut points of a long column; they depend on its values alone, and only they come to the driver."""
-    if bins < 2:
-        return []
-    probs = ",".join(repr(i / bins) for i in range(1, bins))
-    got = keys.select(F.expr(f"approx_percentile(cast({key} as bigint), array({probs}), {max(10_000, bins * 20)})").alias("c")).first()["c"]
-    return sorted(set(got or []))
+#: The least and the most bytes of files behind a range bin; between them there are four bins for each core.
+BIN_BYTES = (16 << 20, 128 << 20)
+#: Cut points found in one pass; more are found within the ranges between these.
+COARSE = 1000
+_LOW = -(1 << 63)
 
 
-def range_bin(key: str, cuts: list[int]):
-    """Number of cut points at or below the key: 0 .. len(cuts). A null key goes to bin 0."""
+def bin_count(df: DataFrame) -> int:
+    """Range bins for the files that a table is read from, by their size: a bin never stands for more than 128 MB of files."""
+    spark = df.sparkSession
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    if size > 1 << 60:  # not from files, and not cached
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    per_bin = min(BIN_BYTES[1], max(BIN_BYTES[0], size // (4 * spark.sparkContext.defaultParallelism)))
+    return max(1, -(-size // per_bin))
 
-    def tree(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col(key) >= F.lit(cuts[mid]), tree(mid + 1, hi)).otherwise(tree(lo, mid))
 
-    return tree(0, len(cuts)).cast("int")
+class RangeBins:
+    """Ranges of a long column with near equal numbers of rows, nulls lowest. A value that fills several bins is spread over them by a tie.
 
+    Of the table only the cut points come to the driver, 8 bytes for each bin, and go into the plan as one array.
+    """
 
-def bin_count(df: DataFrame, bytes_per_bin: int = 32 << 20) -> int:
-    """Range bins for these files, by their size on disk."""
-    spark = df.sparkSession
-    size = 0
-    for f in df.inputFiles():
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
-        size += p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).getLen()
-    if not size:
-        return int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(2000, -(-size // bytes_per_bin)))
+    def __init__(self, docs: DataFrame, key: str, bins: int | None = None):
+        self.key = key
+        n = bin_count(docs) if bins is None else bins
+        keys = docs.select(self._value().alias("k"))
+        self.cuts = self._coarse(keys, min(n, COARSE))
+        if n > COARSE:
+            self.cuts = self._finer(keys, self.cuts, -(-n // COARSE))
+
+    def _value(self) -> Column:
+        return F.coalesce(F.col(self.key), F.lit(_LOW)).cast("bigint")
+
+    @staticmethod
+    def _percentiles(bins: int) -> Column:
+        probs = ",".join(repr(i / bins) for i in range(1, bins))
+        return F.expr(f"approx_percentile(k, array({probs}), {max(10_000, bins * 20)})").alias("c")
+
+    def _coarse(self, keys: DataFrame, bins: int) -> list[int]:
+        return list((keys.select(self._percentiles(bins)).first()["c"] or []) if bins > 1 else [])
+
+    def _finer(self, keys: DataFrame, cuts: list[int], bins: int) -> list[int]:
+        """Cut each range again, without the values that fill ranges alone: these get the cuts of as many ranges."""
+        heavy = sorted({c for c, d in zip(cuts, cuts[1:]) if c == d})
+        rest = keys.where(~F.col("k").isin(heavy)) if heavy else keys
+        got = rest.withColumn("b", self._upto("k", cuts)).groupBy("b").agg(self._percentiles(max(2, bins))).collect()
+        return sorted([c for r in got for c in r["c"]] + [c for c in cuts for _ in range(bins if c in heavy else 1)])
+
+    @staticmethod
+    def _upto(value: str | Column, cuts: list[int], below: bool = False) -> Column:
+        """How many cuts are at or below the value (or below it), by binary search in one array."""
+        if not cuts:
+            return F.lit(0)
+        v = F.col(value) if isinstance(value, str) else value
+        all_ = F.lit(np.array(cuts, np.int64))
+        steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))])
+
+        def step(at: Column, p: Column) -> Column:
+            cut = F.get(all_, at + p - 1)  # null beyond the end
+            return F.when(cut < v if below else cut <= v, at + p).otherwise(at)
+
+        return F.aggregate(steps, F.lit(0), step)
+
+    @property
+    def count(self) -> int:
+        return len(self.cuts) + 1
+
+    def bin(self, tie: Column) -> Column:
+        """The bin; tie, from 0 to below 1, orders rows of one key."""
+        upto = self._upto(self._value(), self.cuts)
+        if len(set(self.cuts)) == len(self.cuts):
+            return upto.cast("int")
+        below = self._upto(self._value(), self.cuts, below=True)
+        return F.when(upto - below < 2, upto).otherwise(below + 1 + F.floor(tie * (upto - below)).cast("int")).cast("int")
+
+
+def text_tie(hash64: Column) -> Column:
+    """A 64-bit hash as a share from 0 to below 1, in its order."""
+    return F.least(hash64.cast("double") / 2.0**64 + 0.5, F.lit(1 - 2.0**-40))
+
+
+def sums_before(totals: DataFrame, order: str, **sums: str) -> DataFrame:
+    """Adds what all rows before hold of the columns named. One row for each bin, so one task can order them: 32 bytes for 16 MB of files or more."""
+    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return totals.withColumns({new: F.coalesce(F.sum(old).over(w), F.lit(0)) for new, old in sums.items()})
 
 
 class TwoGenerations(dict):
@@ -178,6 +230,11 @@ def arrow_map(df: DataFrame, batch: Callable[[pa.RecordBatch], dict | None], sch
 BROADCAST_IDS = 1_000_000
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """Marked for broadcast only where its rows, of 32 bytes or so, are counted and few; a written table should come in."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
 def row_key(*names: str) -> Column:
     """A digest of the named columns, never null: rows that are alike in them share it, null values are values like others."""
     return F.md5(F.concat_ws(",", *[F.coalesce(F.md5(F.col(n).cast("string")), F.lit("null")) for n in names]))
@@ -186,7 +243,7 @@ def row_key(*names: str) -> Column:
 def without_rows(docs: DataFrame, rejected: DataFrame, key: str) -> DataFrame:
     """The documents whose key isn't among the rejected ones: each row follows its own verdict, with any doc_id or none."""
     rejected = materialize(rejected.select(key).distinct(), "without")
-    return docs.join(F.broadcast(rejected) if rejected.count() <= BROADCAST_IDS else rejected, key, "left_anti").select(*docs.columns)
+    return docs.join(bounded(rejected), key, "left_anti").select(*docs.columns)
 
 
 def once(docs: DataFrame) -> DataFrame:

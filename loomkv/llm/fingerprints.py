@@ -16,10 +16,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bin_count, materialize, pick, range_bin, range_cuts, ship
+from .common import RangeBins, arrow_map, bounded, materialize, pick, ship, text_tie
 
 #: Digests that may be broadcast, 16 bytes each; beyond it the join is by shuffle.
 BROADCAST_DIGESTS = 500_000
@@ -80,20 +80,21 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     and the very first one to the last bin. Likeness of two exact digests: 1 if the forms' bytes are equal, else 0.
     Ties in doc_id go by the text's hash.
     """
-    spark = docs.sparkSession
-    base = pick(docs, "doc_id", "text").withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    cuts = range_cuts(docs.select("doc_id"), "doc_id", bin_count(docs, 16 << 20))
-    bins = base.select("key", range_bin("key", cuts).alias("bin")).groupBy("bin").agg(F.max("key").alias("first")).orderBy(F.desc("bin")).collect()
-    extra = {r["first"]: before["bin"] for before, r in zip(bins, bins[1:])} | ({bins[0]["first"]: bins[-1]["bin"]} if bins else {})
-    also = F.lit(None).cast("int")
-    for key, b in sorted(extra.items()):
-        also = F.when(F.col("key") == F.lit(key), F.lit(b)).otherwise(also)
-    if len(extra) > 200:  # a long chain of conditions wouldn't be compiled
-        also = F.element_at(F.create_map(*[F.lit(x) for pair in sorted(extra.items()) for x in pair]), F.col("key"))
-    n = len(cuts) + 1
-    rows = base.withColumns({"bin": range_bin("key", cuts), "also": also})
-    rows = rows.select("doc_id", "text", "key", F.explode(F.when(F.col("also").isNull(), F.array(F.struct(F.col("bin"), F.lit(False).alias("tail")))).otherwise(F.array(F.struct(F.col("bin"), F.lit(False).alias("tail")), F.struct(F.col("also").alias("bin"), F.lit(True).alias("tail"))))).alias("x"))
-    rows = rows.select("doc_id", "text", "key", "x.bin", "x.tail").repartitionById(n, F.col("bin")).sortWithinPartitions("bin", "tail", F.desc("key"), F.xxhash64("text"))
+    bins = RangeBins(docs, "doc_id")
+    h = F.xxhash64("text")
+    base = pick(docs, "doc_id", "text").withColumns({"key": F.coalesce("doc_id", F.lit(-(1 << 63))), "h": h, "bin": bins.bin(text_tie(h))})
+    firsts = base.groupBy("bin").agg(F.max(F.struct("key", "h")).alias("first"))
+    # a row for each bin: one task can order them
+    upwards = Window.orderBy("bin")
+    lowest = F.first("bin").over(upwards.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    firsts = firsts.withColumns({"above": F.lead("bin").over(upwards), "lowest": lowest})
+    firsts = materialize(firsts.select("bin", "first.key", "first.h", "above", "lowest"), "firsts")
+    # the first document of a bin is the next one of the bin above; the very first that of the lowest bin
+    also = firsts.select("key", "h", F.coalesce("above", "lowest").alias("also"))
+    rows = base.join(bounded(also), ["key", "h"], "left")
+    here, there = F.struct("bin", F.lit(False).alias("tail")), F.struct(F.col("also").alias("bin"), F.lit(True).alias("tail"))
+    rows = rows.select("doc_id", "text", "key", "h", F.explode(F.when(F.col("also").isNull(), F.array(here)).otherwise(F.array(here, there))).alias("x"))
+    rows = rows.select("doc_id", "text", "key", "h", "x.bin", "x.tail").repartitionById(bins.count, F.col("bin")).sortWithinPartitions("bin", "tail", F.desc("key"), F.desc("h"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -110,7 +111,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
     names = [x.split()[0] for x in EDITED.split(", ")]
     types = [{"bigint": pa.int64(), "string": pa.string(), "double": pa.float64()}[x.split()[1]] for x in EDITED.split(", ")]
-    ship(spark)
+    ship(docs.sparkSession)
     found = materialize(rows.mapInArrow(run, EDITED), "edited")
     return group_equal(docs, found).select(*names, "group_id", "group_size")
 

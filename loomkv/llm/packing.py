@@ -4,20 +4,23 @@ A document's ids and one end id are cut every `length` tokens; pieces are dealt
 packed alone: longest first, each into the first sequence with room, found in a tournament tree of capacities.
 
 Defined results: a null or empty text is a piece of the end id alone; every row of the input is packed, repeated rows
-each; ties in length go by doc_id and start; an empty table gives no rows. Extra columns are ignored.
+each, with the doc_id as it stands, null too; ties in length go by doc_id and start, nulls last; an empty table gives no
+rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from pathlib import Path
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialize, pick, ship
+from .common import arrow_map, give_back, let_go, materialize, pick, ship
 from .library_bpe import encoder, small_batches
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
@@ -88,25 +91,49 @@ def encode_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, length: int
     return arrow_map(pick(docs, "doc_id", "text"), batch, PIECES + ", ids binary" * with_ids, holds=True)
 
 
+#: Groups that one task packs, one after the other: 128 MB of ids at the most, with groups of 4,096 pieces of 2,048.
+TASK_GROUPS = 4
+
+
 def pack_pieces(pieces: DataFrame, capacity: int, group_pieces: int = 4096, seed: int = 7) -> DataFrame:
-    """Adds sequence_id (group * 2^32 + number in the group) and offset. One shuffle, of a few numbers per piece.
+    """Adds sequence_id (group * 2^32 + number in the group) and offset. One shuffle of the pieces, to tasks of a few groups each.
 
     The random key is written with the pieces, so that a task that runs again sees the same groups.
     """
     keyed = materialize(pieces.withColumn("_deal", F.rand(seed)), "pieces")
     groups = max(1, -(-keyed.count() // group_pieces))
-    schema = keyed.drop("_deal").withColumns({"sequence_id": F.lit(0).cast("bigint"), "offset": F.lit(0).cast("bigint")}).schema
-
-    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable")
-        placed = first_fit_decreasing(rows["length"].tolist(), capacity)
-        rows["sequence_id"] = [(int(key[0]) << 32) + b for b, _ in placed]
-        rows["offset"] = [at for _, at in placed]
-        return rows.drop(columns=["_group"])
+    tasks = -(-groups // TASK_GROUPS)
+    names = pieces.columns
+    schema = pieces.withColumns({"sequence_id": F.lit(0).cast("bigint"), "offset": F.lit(0).cast("bigint")}).schema
+
+    def packed(group: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        rows = rows.take(pc.sort_indices(rows, [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")]))
+        placed = first_fit_decreasing(rows["length"].to_pylist(), capacity)
+        cols = [rows[c].combine_chunks() for c in names] + [pa.array([(group << 32) + b for b, _ in placed], pa.int64()), pa.array([at for _, at in placed], pa.int64())]
+        return pa.RecordBatch.from_arrays(cols, names=[*names, "sequence_id", "offset"])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
+        now, held = None, []
+        for b in it:
+            group = b.column("_group").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                if group[lo] != now and held:
+                    yield packed(now, held)
+                    held = []
+                now = int(group[lo])
+                held.append(b.slice(lo, hi - lo))
+        if held:
+            yield packed(now, held)
+        give_back()
 
     ship(pieces.sparkSession)
     grouped = keyed.withColumn("_group", F.floor(F.col("_deal") * groups).cast("bigint")).drop("_deal")
-    return grouped.groupBy("_group").applyInPandas(pack, schema)
+    return grouped.repartitionById(tasks, (F.col("_group") % tasks).cast("int")).sortWithinPartitions("_group").mapInArrow(run, schema)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, length: int = 2048, with_ids: bool = False) -> DataFrame:

@@ -1,149 +1,25 @@
 """Operator 10: token counts by rank-synchronous merging of ragged numpy arrays.
 
-The pre-tokens of a batch lie end to end in one array of symbols. In each round every pre-token's pair of lowest rank
-is merged, in all of them at once; a pre-token without a pair that merges leaves the array, and its symbols count.
+The pre-tokens of a block that haven't been met lie end to end in one array of symbols. In each round every pre-token's
+pair of lowest rank is merged, in all of them at once; a pre-token without a pair that merges leaves the array, and its
+symbols count (merges.RankMerger). Blocks and what is kept of pre-tokens met before are library_bpe's.
 
-Defined results: a null or empty text has 0 bytes and 0 tokens; rows with equal texts get equal counts. Extra columns
-are ignored.
+Defined results: a null or empty text has 0 bytes and 0 tokens; rows with equal texts get equal counts, whatever their
+doc_id, null or repeated; an empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
-import json
-import os
-import re
-import unicodedata
 from pathlib import Path
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame
 
-from . import units
-from .common import TwoGenerations, arrow_map, hold, pick
-from .library_bpe import parts, small_batches
+from .common import arrow_map, pick
+from .library_bpe import encoder, small_batches
 
 SCHEMA = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"
-NEVER = np.int64(1) << 40
-
-
-class RankMerger:
-    """Merges by rank; pairs are found by binary search among the sorted keys left << 32 | right."""
-
-    def __init__(self, vocab: dict[str, int], merges: list, suffix: str):
-        self.vocab, self.suffix = vocab, suffix
-        pairs = [tuple(m) if isinstance(m, (list, tuple)) else tuple(m.split(" ")) for m in merges]
-        keys = np.array([(vocab[a] << 32) | vocab[b] for a, b in pairs], np.int64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks = keys[order], order.astype(np.int64)
-        self.results = np.array([vocab[a + b] for a, b in pairs], np.int64)
-        made: dict[int, int] = {}
-        for r, (a, b) in enumerate(pairs):
-            made.setdefault(vocab[a + b], r)
-        if any(max(made.get(vocab[a], -1), made.get(vocab[b], -1)) >= r for r, (a, b) in enumerate(pairs)):
-            raise ValueError("a merge comes before its parts: all places of a pair can't be merged at once")
-
-    def symbols(self, word: str) -> list[int]:
-        """Ids of a byte-level pre-token's characters; the last one has the end-of-word suffix."""
-        return [*map(self.vocab.__getitem__, word[:-1]), self.vocab[word[-1] + self.suffix]]
-
-    def counts(self, words: list[str]) -> np.ndarray:
-        """Number of symbols that survive in each."""
-        each = [self.symbols(w) for w in words]
-        owner = np.repeat(np.arange(len(each)), [len(x) for x in each])
-        ids = np.fromiter((s for x in each for s in x), np.int64, len(owner))
-        out = np.ones(len(each), np.int64)
-        while len(ids) > 1:
-            inside = owner[:-1] == owner[1:]
-            key = (ids[:-1] << 32) | ids[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            rank = np.where(inside & (self.keys[at] == key), self.ranks[at], NEVER)
-            rank = np.append(rank, NEVER)
-            starts = np.flatnonzero(np.append(True, ~inside))
-            lowest = np.minimum.reduceat(rank, starts)
-            size = np.diff(np.append(starts, len(ids)))
-            done = lowest == NEVER
-            out[owner[starts[done]]] = size[done]
-            hit = np.flatnonzero((rank == np.repeat(lowest, size)) & (rank != NEVER))
-            # a pair of two equal symbols may overlap itself: of neighbours in a run, every second one goes
-            run = np.append(True, np.diff(hit) != 1)[: len(hit)]
-            first = hit[run][np.cumsum(run) - 1]
-            hit = hit[(hit - first) % 2 == 0]
-            ids[hit] = self.results[rank[hit]]
-            stay = np.repeat(~done, size)
-            stay[hit + 1] = False
-            ids, owner = ids[stay], owner[stay]
-        if len(ids):
-            out[owner] = 1
-        return out
-
-
-class TokenCounter:
-    """Counts by units (see units.words), of which those met before are kept, within a bound."""
-
-    def __init__(self, file: bytes, keep: int = 400_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        spec, model = json.loads(file), json.loads(file)["model"]
-        self.tokenizer = Tokenizer.from_str(file.decode())
-        self.merger = RankMerger(model["vocab"], model["merges"], model["end_of_word_suffix"] or "")
-        self.added = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
-        self.kept: TwoGenerations = TwoGenerations(keep)
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the byte-level alphabet: others follow from 256 on
-        self.byte_char = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in plain)}
-        first = spec["pre_tokenizer"]["pretokenizers"][0]
-        self.words = regex.compile(first["pattern"]["Regex"])
-
-    def _split(self, unit: str) -> list[str]:
-        """Byte-level pre-tokens: for letters of the first Unicode blocks, whose classes never change, without the library."""
-        if unit.isascii() and unit.isprintable():
-            return self.words.findall(unit.lower())
-        if max(unit) < "\u0130" and unicodedata.is_normalized("NFC", unit):
-            char = self.byte_char
-            return ["".join([char[b] for b in w.encode()]) for w in self.words.findall(unit.lower())]
-        return [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(unit))]
-
-    def _fresh(self, new: list[str]) -> dict[str, int]:
-        words, owner, counts = [], [], [0] * len(new)
-        for i, u in enumerate(new):
-            split_up = [u]
-            if "<|" in u:
-                counts[i] = len(self.added.findall(u))  # an added token's string is one token
-                split_up = self.added.split(u)
-            for p in split_up:
-                for w in self._split(p):
-                    words.append(w)
-                    owner.append(i)
-        if words:
-            distinct = {w: k for k, w in enumerate(dict.fromkeys(words))}
-            n_of = self.merger.counts(list(distinct)).tolist()
-            for i, n in zip(owner, [n_of[distinct[w]] for w in words]):
-                counts[i] += n
-        return dict(zip(new, counts))
-
-    def count_many(self, texts: list[str]) -> list[int]:
-        out = [0] * len(texts)
-        cut = [(i, units.words(p)) for i, t in enumerate(texts) for p in parts(t)]
-        known, new = {}, {}
-        for _, us in cut:
-            some, missing = self.kept.recall([u for u in set(us) if u not in known and u not in new])
-            known |= some
-            new |= dict.fromkeys(missing)
-        fresh = self._fresh(list(new))
-        self.kept.room()
-        self.kept.update(fresh)
-        known |= fresh
-        for i, us in cut:
-            out[i] += sum(map(known.__getitem__, us))
-        return out
-
-
-def _counter(file: bytes) -> TokenCounter:
-    return hold("ranks " + hashlib.sha256(file).hexdigest(), lambda: TokenCounter(file))
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048) -> DataFrame:
@@ -151,9 +27,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048) -> Dat
     file = docs.sparkSession.sparkContext.broadcast(Path(tokenizer_path).read_bytes())
 
     def batch(b: pa.RecordBatch) -> dict:
-        counter, counts = _counter(file.value), []
+        enc, counts = encoder(file.value), []
         for run in small_batches(x.as_py() for x in b.column("text")):
-            counts += counter.count_many(run)
+            counts += [len(ids) // 4 for ids in enc.encode_many(run)]
         size = pc.binary_length(b.column("text"))
         return {"doc_id": b.column("doc_id"), "n_bytes": size.cast("int64"), "n_tokens": counts, "over_limit": [n > limit for n in counts]}
 

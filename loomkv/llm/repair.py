@@ -1,13 +1,13 @@
 """Operator 3: token ids in Re-Pair compressed shard files, with random access.
 
-A shard holds documents in ascending doc_id. Its ids are compressed by rounds: the most frequent neighbouring pairs
-become nonterminals, all occurrences at once; pairs of one round share no symbol in opposite roles, so their
-occurrences never overlap. The file has the rules, each symbol's expansion length, and the shortened sequence; a
-range of ids is decoded from the symbols that cover it alone.
+A shard holds documents in ascending doc_id. Pairs of neighbouring ids are replaced by nonterminals until no pair
+occurs twice (see grammar). The file has the rules, each nonterminal's expansion length, running sums of lengths at
+every 1024th symbol, and the shortened sequence; a range of ids is decoded from the symbols that cover it, whose bytes
+alone are read of the sequence.
 
-File: magic, width in bytes of a symbol, base (first nonterminal), numbers of documents, rules, symbols and ids; then
-doc_ids (int64) with a null flag each (uint8), ids per document (int64), rules (two symbols each), expansion lengths
-(uint32), the sequence; last a crc32 of all before it. All little-endian.
+File: magic, bytes in a symbol, base (first nonterminal), numbers of documents, rules, symbols and ids; doc_ids (int64)
+with a null flag each (uint8), ids per document (int64), rules (two symbols each), expansion lengths (uint32), running
+sums (int64), a crc32 of all before it; then the sequence and its crc32. All little-endian.
 
 Defined results: a null or empty text is the end id alone; ties in doc_id go by the text's hash; null doc_ids come
 first; repeated rows are stored each; an empty table writes no file and gives no rows. Extra columns are ignored.
@@ -19,7 +19,7 @@ import io
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -28,75 +28,13 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bin_count, materialize, pick, range_bin, range_cuts, shared_path, ship
+from .common import RangeBins, bounded, materialize, pick, shared_path, ship, sums_before, text_tie
+from .grammar import compress
 from .library_bpe import encoder, small_batches
 
-MAGIC, HEAD = b"LRP1", struct.Struct("<4sIIQQQQ")
-
-
-def _frequent(seq: np.ndarray, width: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of all neighbouring pairs; the distinct ones that occur often, most frequent first, and how often."""
-    half = 8 * width
-    kind = np.uint32 if width == 2 else np.uint64
-    keys = (seq[:-1].astype(kind) << kind(half)) | seq[1:].astype(kind)
-    ordered = np.sort(keys)
-    starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-    counts = np.diff(np.append(starts, len(ordered)))
-    often = np.flatnonzero(counts >= least)
-    often = often[np.lexsort((ordered[starts[often]], -counts[often]))]
-    return keys, ordered[starts[often]], counts[often]
-
-
-def compress(seq: np.ndarray, base: int, width: int, most_rules: int, least: int = 32, per_round: int = 2048, rounds: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """Rules (pairs of symbols; rule k makes symbol base + k) and the shortened sequence.
-
-    It ends when no pair occurs `least` times, a round saves under 1 % of the symbols, or the rules or rounds are used up.
-    """
-    half, rules = 8 * width, []
-    for _ in range(rounds):
-        if len(seq) < 2 or len(rules) >= most_rules:
-            break
-        keys, pairs, _ = _frequent(seq, width, least)
-        role: dict[int, str] = {}
-        chosen = []
-        for key in pairs[: 4 * per_round].tolist():
-            a, b = key >> half, key & ((1 << half) - 1)
-            if a == b:
-                if a in role:
-                    continue
-                role[a] = "both"
-            else:
-                if role.get(a, "left") != "left" or role.get(b, "right") != "right":
-                    continue
-                role[a], role[b] = "left", "right"
-            chosen.append(key)
-            if len(chosen) >= min(per_round, most_rules - len(rules)):
-                break
-        if not chosen:
-            break
-        rank = np.argsort(np.array(chosen, keys.dtype), kind="stable")
-        known = np.array(chosen, keys.dtype)[rank]
-        left, right = np.zeros(1 << half if width == 2 else base + most_rules, bool), None
-        right = left.copy()
-        left[known >> keys.dtype.type(half)] = True
-        right[known & keys.dtype.type((1 << half) - 1)] = True
-        hit = np.flatnonzero(left[seq[:-1]] & right[seq[1:]])
-        at = np.minimum(np.searchsorted(known, keys[hit]), len(known) - 1)
-        found = known[at] == keys[hit]
-        hit, at = hit[found], at[found]
-        # only a pair of two equal symbols can touch itself: in a run every second place goes
-        run = np.append(True, np.diff(hit) != 1)[: len(hit)]
-        stay = (hit - hit[run][np.cumsum(run) - 1]) % 2 == 0 if len(hit) else run
-        hit, at = hit[stay], at[stay]
-        seq = seq.copy()
-        seq[hit] = (base + len(rules) + rank[at]).astype(seq.dtype)
-        keep = np.ones(len(seq), bool)
-        keep[hit + 1] = False
-        before, seq = len(seq), seq[keep]
-        rules += [(k >> half, k & ((1 << half) - 1)) for k in chosen]
-        if len(seq) > 0.99 * before:
-            break
-    return np.array(rules, seq.dtype).reshape(-1, 2), seq
+MAGIC, HEAD = b"LRP2", struct.Struct("<4sIIQQQQ")
+#: Symbols between two running sums.
+SAMPLE = 1024
 
 
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
@@ -106,36 +44,54 @@ def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
     return np.array(out, np.uint32)
 
 
-def expand(seq: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    """All ids of a sequence: nonterminals are replaced level by level."""
-    seq = seq.astype(np.uint32)
-    rules = rules.astype(np.uint32)
-    while len(seq) and len(rules) and seq.max() >= base:
+def _sizes(seq: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
+    out = np.ones(len(seq), np.int64)
+    inner = seq >= base
+    out[inner] = lengths[seq[inner] - np.uint32(base)]
+    return out
+
+
+def expand(seq: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
+    """All ids of a sequence: each nonterminal's two symbols are put where they begin, until none is left."""
+    sizes = _sizes(seq, lengths, base)
+    at = np.cumsum(sizes) - sizes
+    out = np.empty(int(sizes.sum()), np.uint32)
+    while len(seq):
         inner = seq >= base
-        out = np.repeat(seq, 1 + inner)
-        at = np.cumsum(1 + inner) - 1  # a symbol's last place
-        out[at[inner] - 1] = rules[seq[inner] - base, 0]
-        out[at[inner]] = rules[seq[inner] - base, 1]
-        seq = out
-    return seq
+        out[at[~inner]] = seq[~inner]
+        pairs, at = rules[seq[inner] - np.uint32(base)], at[inner]
+        left, right = pairs[:, 0], pairs[:, 1]
+        seq, at = np.concatenate([left, right]), np.concatenate([at, at + _sizes(left, lengths, base)])
+    return out
 
 
-def pack_shard(doc_ids: list[int | None], ids: list[bytes], base: int, most_rules: int) -> bytes:
+def _narrow(symbols: np.ndarray, width: int) -> bytes:
+    return np.ascontiguousarray(symbols.astype("<u4").reshape(-1, 1).view(np.uint8)[:, :width]).tobytes()
+
+
+def _wide(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 4), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return out.view("<u4").reshape(-1)
+
+
+def pack_shard(doc_ids: list[int | None], ids: list[bytes], base: int) -> bytes:
     """A shard file's bytes, of documents whose ids come as little-endian unsigned 32-bit integers."""
-    width = 2 if base + most_rules <= 1 << 16 else 4
-    kind = np.dtype(f"<u{width}")
     seq = np.frombuffer(b"".join(ids), "<u4")
-    rules, short = compress(seq.astype(kind), base, width, most_rules)
+    rules, short = compress(seq, base)
+    lengths = expansion_lengths(rules, base)
+    width = max(1, -(-(base + len(rules)).bit_length() // 8))
     out = io.BytesIO()
     out.write(HEAD.pack(MAGIC, width, base, len(doc_ids), len(rules), len(short), len(seq)))
     out.write(np.array([x or 0 for x in doc_ids], "<i8").tobytes())
     out.write(np.array([x is None for x in doc_ids], "u1").tobytes())
     out.write(np.array([len(x) // 4 for x in ids], "<i8").tobytes())
-    out.write(rules.astype(kind).tobytes())
-    out.write(expansion_lengths(rules, base).astype("<u4").tobytes())
-    out.write(short.astype(kind).tobytes())
-    data = out.getvalue()
-    return data + struct.pack("<I", zlib.crc32(data))
+    out.write(_narrow(rules, width))
+    out.write(lengths.astype("<u4").tobytes())
+    sizes = _sizes(short, lengths, base)
+    out.write((np.cumsum(sizes) - sizes)[::SAMPLE].astype("<i8").tobytes())
+    tables, body = out.getvalue(), _narrow(short, width)
+    return b"".join([tables, struct.pack("<I", zlib.crc32(tables)), body, struct.pack("<I", zlib.crc32(body))])
 
 
 def head_of(data: bytes) -> tuple:
@@ -143,63 +99,61 @@ def head_of(data: bytes) -> tuple:
 
 
 class Shard:
-    """A shard file that was read."""
-
-    def __init__(self, data: bytes):
-        magic, width, self.base, docs, rules, symbols, self.n_ids = HEAD.unpack_from(data)
-        if magic != MAGIC or zlib.crc32(data[:-4]) != struct.unpack("<I", data[-4:])[0]:
+    """A shard file; read_at(place, n) gives bytes of it. The tables are read at once, the sequence as it is needed."""
+
+    def __init__(self, read_at: Callable[[int, int], bytes]):
+        head = read_at(0, HEAD.size)
+        if len(head) < HEAD.size or head[:4] != MAGIC:
+            raise ValueError("not a shard file")
+        _, self.width, self.base, docs, rules, self.symbols, self.n_ids = HEAD.unpack(head)
+        sums = -(-self.symbols // SAMPLE)
+        sizes = [8 * docs, docs, 8 * docs, 2 * rules * self.width, 4 * rules, 8 * sums, 4]
+        data = read_at(HEAD.size, sum(sizes))
+        cut = [data[sum(sizes[:i]) : sum(sizes[: i + 1])] for i in range(len(sizes))]
+        if struct.pack("<I", zlib.crc32(data[:-4], zlib.crc32(head))) != cut[6]:
             raise ValueError("not a whole shard file")
-        at, kind = HEAD.size, np.dtype(f"<u{width}")
-
-        def take(what: str | np.dtype, n: int) -> np.ndarray:
-            nonlocal at
-            got = np.frombuffer(data, what, n, at)
-            at += got.nbytes
-            return got
+        null = np.frombuffer(cut[1], "u1").tolist()
+        self.doc_ids = [None if x else v for v, x in zip(np.frombuffer(cut[0], "<i8").tolist(), null)]
+        self.doc_tokens = np.frombuffer(cut[2], "<i8")
+        self.rules = _wide(cut[3], self.width).reshape(-1, 2)
+        self.lengths, self.sums = np.frombuffer(cut[4], "<u4"), np.frombuffer(cut[5], "<i8")
+        self.read_at, self.body = read_at, HEAD.size + sum(sizes)
 
-        values, null = take("<i8", docs), take("u1", docs)
-        self.doc_ids = [None if x else v for v, x in zip(values.tolist(), null.tolist())]
-        self.doc_tokens = take("<i8", docs)
-        self.rules = take(kind, 2 * rules).reshape(-1, 2)
-        self.lengths = take("<u4", rules)
-        self.seq = take(kind, symbols)
+    @classmethod
+    def of(cls, data: bytes) -> Shard:
+        return cls(lambda at, n: data[at : at + n])
 
     def ids(self) -> np.ndarray:
-        """All ids, from a table of every rule's expansion."""
-        made: list[np.ndarray] = []
-        for a, b in self.rules.tolist():
-            made.append(np.concatenate([made[x - self.base] if x >= self.base else np.array([x], np.uint32) for x in (a, b)]))
-        inner = self.seq >= self.base
-        which = np.where(inner, self.seq.astype(np.int64) - self.base, -1)
-        lengths = np.append(self.lengths.astype(np.int64), 1)  # the last entry is for terminals
-        starts = np.append(np.cumsum(lengths[:-1]) - lengths[:-1], 0)
-        sizes = lengths[which]
-        ends = np.cumsum(sizes)
-        out = np.repeat(self.seq.astype(np.uint32), sizes)
-        many = np.repeat(inner, sizes)
-        at = (np.arange(len(out)) + np.repeat(starts[which] - (ends - sizes), sizes))[many]
-        if len(at):
-            out[many] = np.concatenate(made)[at]
-        return out
+        """All ids; the sequence's checksum is compared."""
+        n = self.symbols * self.width
+        data = self.read_at(self.body, n + 4)
+        if struct.pack("<I", zlib.crc32(data[:n])) != data[n:]:
+            raise ValueError("not a whole shard file")
+        return expand(_wide(data[:n], self.width), self.rules, self.lengths, self.base)
 
     def read(self, start: int, length: int) -> np.ndarray:
-        """Ids start .. start + length, from the symbols that cover them."""
-        if length <= 0 or start >= self.n_ids:
+        """Ids start .. start + length, from the symbols between the running sums that enclose them."""
+        end = min(start + length, self.n_ids)
+        if end <= start:
             return np.zeros(0, np.uint32)
-        sizes = np.ones(len(self.seq), np.int64)
-        inner = self.seq >= self.base
-        sizes[inner] = self.lengths[self.seq[inner].astype(np.int64) - self.base]
-        ends = np.cumsum(sizes)
-        first, last = np.searchsorted(ends, start, "right"), np.searchsorted(ends, min(start + length, self.n_ids), "left")
-        got = expand(self.seq[first : last + 1], self.rules, self.base)
-        skip = start - (ends[first] - sizes[first])
-        return got[skip : skip + length]
+        lo = int(np.searchsorted(self.sums, start, "right")) - 1
+        hi = int(np.searchsorted(self.sums, end, "left"))
+        first, last = lo * SAMPLE, min(hi * SAMPLE, self.symbols)
+        seq = _wide(self.read_at(self.body + first * self.width, (last - first) * self.width), self.width)
+        before = int(self.sums[lo]) + np.append(0, np.cumsum(_sizes(seq, self.lengths, self.base)))
+        a, b = int(np.searchsorted(before, start, "right")) - 1, int(np.searchsorted(before, end, "left"))
+        got = expand(seq[a:b], self.rules, self.lengths, self.base)
+        return got[start - before[a] :][: end - start]
+
+    def document(self, k: int) -> np.ndarray:
+        """Ids of the shard's k-th document."""
+        return self.read(int(self.doc_tokens[:k].sum()), int(self.doc_tokens[k]))
 
 
 MANIFEST = "bin int, nth int, path string, n_docs bigint, n_tokens bigint, n_symbols bigint, n_rules bigint"
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, most_rules: int = 1 << 13, shard_tokens: int = 1 << 21) -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, shard_tokens: int = 1 << 21) -> DataFrame:
     """Write shard files to a folder that all executors share; returns the manifest, one row per shard.
 
     One shuffle of the texts, into range bins of doc_id. A file's name is new in each attempt of a task, and only
@@ -207,9 +161,10 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     """
     spark = docs.sparkSession
     file = spark.sparkContext.broadcast(Path(tokenizer_path).read_bytes())
-    cuts = range_cuts(docs.select("doc_id"), "doc_id", bin_count(docs, 16 << 20))
-    rows = pick(docs, "doc_id", "text").withColumn("bin", range_bin("doc_id", cuts))
-    rows = rows.repartitionById(len(cuts) + 1, F.col("bin")).sortWithinPartitions("bin", F.asc_nulls_first("doc_id"), F.xxhash64("text"))
+    bins = RangeBins(docs, "doc_id")
+    rows = pick(docs, "doc_id", "text").withColumn("h", F.xxhash64("text"))
+    rows = rows.withColumn("bin", bins.bin(text_tie(F.col("h")))).repartitionById(bins.count, F.col("bin"))
+    rows = rows.sortWithinPartitions("bin", F.asc_nulls_first("doc_id"), "h").drop("h")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(file.value), end_id.to_bytes(4, "little")
@@ -223,8 +178,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         def flush() -> None:
             nonlocal held, nth, n
             if held[0]:
-                data = pack_shard(*held, base, most_rules)
-                name = f"{bin_:05d}-{nth:05d}-{uuid.uuid4().hex}.lrp"
+                data = pack_shard(*held, base)
+                name = f"{bin_:07d}-{nth:05d}-{uuid.uuid4().hex}.lrp"
                 with store.open_output_stream(f"{root}/{name}") as f:
                     f.write(data)
                 head = head_of(data)
@@ -257,16 +212,11 @@ READ = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 def read_shards(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     """Per document, from the files: doc_id, start (ids of all documents before it), n_tokens, crc32 of its ids, perhaps the ids.
 
-    Offsets: totals per bin (at most 2,000) are summed on the driver, those of a bin's shards by a window.
+    Offsets: totals of the bins are summed in one task, a row each; those of a bin's shards by a window.
     """
-    spark = manifest.sparkSession
-    offsets, total = [], 0
-    for r in sorted(manifest.groupBy("bin").agg(F.sum("n_tokens").alias("n")).collect()):
-        offsets.append((r["bin"], total))
-        total += r["n"]
-    before = spark.createDataFrame(offsets, "bin int, bin0 bigint")
+    totals = materialize(sums_before(manifest.groupBy("bin").agg(F.sum("n_tokens").alias("n")), "bin", bin0="n").drop("n"), "offsets")
     at = F.expr("bin0 + sum(n_tokens) over (partition by bin order by nth rows unbounded preceding) - n_tokens").alias("start0")
-    files = manifest.join(F.broadcast(before), "bin").select("path", at)
+    files = manifest.join(bounded(totals), "bin").select("path", at)
     n = max(1, min(manifest.count(), 20_000))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +224,7 @@ def read_shards(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
             for path, start in zip(b.column("path").to_pylist(), b.column("start0").to_pylist()):
                 store, p = pafs.FileSystem.from_uri(path)
                 with store.open_input_stream(p) as f:
-                    shard = Shard(f.read())
+                    shard = Shard.of(f.read())
                 ids = shard.ids().astype("<u4")
                 ends = np.cumsum(shard.doc_tokens)
                 each = [ids[e - k : e].tobytes() for e, k in zip(ends.tolist(), shard.doc_tokens.tolist())]

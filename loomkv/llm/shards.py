@@ -13,33 +13,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bin_count, materialize, range_bin, range_cuts
+from .common import RangeBins, bounded, materialize, sums_before
 
 
 def byte_shards(docs: DataFrame, shards: int = 40, overhead: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard. Texts are read once and never shuffled.
 
-    To the driver come the bins' cut points and, per bin, two totals; per shard, its first row's number.
+    To the driver come the bins' cut points and one total.
     """
-    spark = docs.sparkSession
-    cuts = range_cuts(docs, "doc_id", bin_count(docs, 8 << 20))
-    rows = materialize(
-        docs.select(
-            "doc_id",
-            (F.coalesce(F.octet_length("text"), F.lit(0)) + overhead).cast("bigint").alias("size"),
-            F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"),
-            range_bin("doc_id", cuts).alias("bin"),
-        ),
-        "sizes",
-    )
-    offsets, size, count = [], 0, 0
-    for r in sorted(rows.groupBy("bin").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()):
-        offsets.append((r["bin"], size, count))
-        size, count = size + r["s"], count + r["n"]
-    before = spark.createDataFrame(offsets, "bin int, size0 bigint, row0 bigint")  # a row per bin, of which there are at most 2,000
+    bins = RangeBins(docs, "doc_id")
+    crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    rows = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + overhead).cast("bigint").alias("size"), crc.alias("text_crc32"))
+    rows = materialize(rows.withColumn("bin", bins.bin(F.col("text_crc32") / F.lit(2.0**32))), "sizes")
+    totals = rows.groupBy("bin").agg(F.sum("size").alias("s"), F.count("*").alias("n"))
+    before = materialize(sums_before(totals, "bin", size0="s", row0="n").drop("n"), "offsets")
+    size = before.agg(F.sum("s")).first()[0] or 0
 
     w = Window.partitionBy("bin").orderBy(F.asc_nulls_first("doc_id"), "text_crc32", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.withColumns({"upto": F.sum("size").over(w), "nth": F.count("*").over(w)}).join(F.broadcast(before), "bin")
+    placed = rows.withColumns({"upto": F.sum("size").over(w), "nth": F.count("*").over(w)}).join(bounded(before), "bin")
     cut = F.expr(f"((2 * (size0 + upto) - size) * {shards}) div {2 * max(1, size)}")  # in whole numbers
     placed = placed.withColumns({"shard": F.least(F.lit(shards - 1), cut).cast("int"), "at": F.col("row0") + F.col("nth") - 1})
     first = placed.groupBy("shard").agg(F.min("at").alias("first"))
