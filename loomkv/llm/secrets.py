@@ -1,10 +1,11 @@
 """Operator 9: secrets, and credentials in several parts that are linked by where they stand.
 
 Strong kinds (assign, access, hex) are always reported. Weak kinds are not secrets by themselves: an identifier, a
-random-looking blob, an endpoint. A weak span is reported only if a complementary part lies near it in the same scope:
-scopes are blocks of text between blank lines, and near is a gap of at most `reach` code points. The join of the
-parts' widened intervals is a sweep in order of their starts, and one back from the end; links are those of each part
-with its nearest complements on either side.
+random-looking blob, an endpoint. A blob inside an identifier or endpoint is part of that and no candidate. A weak span
+is reported only if a complementary part, which overlaps it nowhere, lies near it in the same scope: scopes are blocks
+of text between blank lines, and near is a gap of at most `reach` code points. The interval join finds each part's
+nearest complements on either side by binary search; all searches take time in proportion to the text, but for the
+logarithm.
 
 Defined results: a null or empty text has no spans; repeated rows get equal results; a text of any length is searched
 whole; an empty table gives no rows. Extra columns are ignored.
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import deque
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +27,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # a run is matched whole, so shorter runs are those that fail
 IDENT = re.compile(r"""(?i:\b(?:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?))["']?\x20*[:=]\x20*["']?([A-Za-z0-9@+/_.-]{3,})|\b(?:ASIA|AROA|AIDA)[A-Z0-9]{12,}""", re.A)
 BLOB = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}", re.A)
-ENDPOINT = re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}\b", re.A)
+URL = re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]+", re.A)
+PORT = re.compile(r":[0-9]{2,5}\b", re.A)
+#: Code points of a host's name, at most; it is looked for on the left of a port.
+HOST = 253
+_HOST_CHARS = "abcdefghijklmnopqrstuvwxyz0123456789.-"
 SCOPE = re.compile(r"\n[\x20\t\r]*\n")
 
 #: In the order that settles ties: the strong kinds first.
@@ -49,18 +54,44 @@ def strong_spans(text: str) -> list[Span]:
     return out
 
 
+def endpoints(text: str) -> list[tuple[int, int]]:
+    """URLs, and names of two labels or more with a port, at a border of words and outside URLs; they don't overlap."""
+    out = [m.span() for m in URL.finditer(text)] if "://" in text else []
+    urls, k, free = list(out), 0, 0  # free: where the last URL or name before ends
+    for m in PORT.finditer(text):
+        p = m.start()
+        while k < len(urls) and urls[k][1] <= p:
+            free = max(free, urls[k][1])
+            k += 1
+        if k < len(urls) and urls[k][0] < p:
+            continue
+        before = text[max(free, p - HOST - 1) : p]
+        name = before[len(before.rstrip(_HOST_CHARS)) :]
+        if len(name) > HOST:
+            continue
+        last = p - len(name) + name.rfind(".")
+        double = name.rfind("..")
+        for s in range(p - len(name) + (double + 1 if double >= 0 else 0), last if "." in name and name[-1] != "." else 0):
+            c, left = text[s], text[s - 1] if s else " "
+            if c != "." and (c != "-") != (left.isascii() and (left.isalnum() or left == "_")):
+                out.append((s, m.end()))
+                free = m.end()
+                break
+    return out
+
+
 def weak_spans(text: str, strong: list[Span]) -> list[Span]:
-    """Candidates that don't overlap a strong span; a blob needs both cases of letters beside its digits."""
+    """Candidates that don't overlap a strong span; a blob needs both cases of letters beside its digits, and stands outside the others."""
     out: list[Span] = []
     if "=" in text or ":" in text or "A" in text:
         out += [("part_identifier", m.start(1) if m[1] else m.start(), m.end()) for m in IDENT.finditer(text)]
-    out += [("part_secret", m.start(), m.end()) for m in BLOB.finditer(text) if re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0])]
     if ":" in text:
-        out += [("part_endpoint", m.start(), m.end()) for m in ENDPOINT.finditer(text)]
-    if not out:
-        return out
-    taken = sorted((s, e) for _, s, e in strong)
-    return [x for x in out if not any(s < x[2] and x[1] < e for s, e in taken)] if len(taken) < 50 else _apart(out, taken)
+        out += [("part_endpoint", *x) for x in endpoints(text)]
+    blobs = [("part_secret", m.start(), m.end()) for m in BLOB.finditer(text) if re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0])]
+    if blobs and out:
+        blobs = _apart(blobs, sorted((s, e) for _, s, e in out))
+    out += blobs
+    return _apart(out, sorted((s, e) for _, s, e in strong)) if out and strong else out
 
 
 def _apart(spans: list[Span], taken: list[tuple[int, int]]) -> list[Span]:
@@ -75,37 +106,32 @@ def _apart(spans: list[Span], taken: list[tuple[int, int]]) -> list[Span]:
 
 
 def link(spans: list[Span], text: str, reach: int) -> list[tuple[Span, Span]]:
-    """Pairs of complementary parts in one scope with a gap of at most `reach`: each part with the nearest before it and the nearest after it of each role.
+    """Pairs of complementary parts in one scope, without overlap, with a gap of at most `reach`: each part with the nearest before it and the nearest after it of each role.
 
     On either side the nearest one decides whether any is in reach, so a part is linked here exactly if the join of all
     pairs links it, and pairs stay in proportion to the spans.
     """
     if len(spans) < 2:
         return []
-    borders = deque(m.start() for m in SCOPE.finditer(text))
-    parts, scope = [], 0
-    for x in sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]))):
-        while borders and borders[0] <= x[1]:  # a new scope begins
-            borders.popleft()
-            scope += 1
-        parts.append((scope, ROLE[x[0]], x))
+    borders = [m.start() for m in SCOPE.finditer(text)]
+    groups: dict[tuple[int, str], list[Span]] = {}
+    for x in spans:
+        groups.setdefault((bisect_right(borders, x[1]), ROLE[x[0]]), []).append(x)
+    by_start = {g: sorted(xs, key=lambda x: x[1]) for g, xs in groups.items()}
+    by_end = {g: sorted(xs, key=lambda x: x[2]) for g, xs in groups.items()}
     out: dict[tuple[Span, Span], None] = {}
-    last: dict[tuple[int, str], Span] = {}  # the one that ends last
-    for scope, role, x in parts:
-        for other in COMPLEMENT[role]:
-            y = last.get((scope, other))
-            if y is not None and x[1] - y[2] <= reach:
-                out[y, x] = None
-        y = last.get((scope, role))
-        if y is None or y[2] <= x[2]:
-            last[scope, role] = x
-    first: dict[tuple[int, str], Span] = {}  # the one that starts first
-    for scope, role, x in reversed(parts):
+    for (scope, role), xs in by_start.items():
         for other in COMPLEMENT[role]:
-            y = first.get((scope, other))
-            if y is not None and y[1] - x[2] <= reach:
-                out[x, y] = None
-        first[scope, role] = x
+            g = (scope, other)
+            if g not in groups:
+                continue
+            for x in xs:
+                i = bisect_right(by_end[g], x[1], key=lambda y: y[2]) - 1
+                if i >= 0 and x[1] - by_end[g][i][2] <= reach:
+                    out[by_end[g][i], x] = None
+                j = bisect_left(by_start[g], x[2], key=lambda y: y[1])
+                if j < len(by_start[g]) and by_start[g][j][1] - x[2] <= reach:
+                    out[x, by_start[g][j]] = None
     return list(out)
 
 
