@@ -36,10 +36,21 @@ def ship(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
+def keep_heap() -> None:
+    """Arrays of a few megabytes come from the heap and stay there, not from fresh pages each time; give_back returns them."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 32 << 20)  # the size from which memory is mapped, at its highest
+        libc.mallopt(-1, 256 << 20)  # free memory at the heap's end that stays
+    except (AttributeError, OSError):  # only glibc has it
+        pass
+
+
 def hold(name: str, make: Callable[[], object]) -> object:
     """What a Python worker keeps for its next batches and tasks; it holds one such thing at a time."""
     if name not in _held:
         let_go()
+        keep_heap()
         _held[name] = make()
     return _held[name]
 
@@ -85,26 +96,37 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that materialize wrote, once what was made from them is itself written."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        files = df.inputFiles()
+        folder = sc._jvm.org.apache.hadoop.fs.Path(files[0]).getParent() if files else None
+        if folder is not None and folder.getName().startswith(sc.applicationId):
+            folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def pick(docs: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns can't clash; a null text becomes empty."""
     return docs.select(*[F.coalesce(F.col("text"), F.lit("")).alias("text") if n == "text" else F.col(n) for n in names])
 
 
-#: The least and the most bytes of files behind a range bin; between them there are four bins for each core.
-BIN_BYTES = (16 << 20, 128 << 20)
+#: The least and the most bytes of files behind a range bin. Between them, from 320 GB to 20 TB of files, there are BINS
+#: of them: a shuffle has map tasks times bins blocks. Tasks stream through their bins, so memory doesn't grow with them.
+BIN_BYTES, BINS = (16 << 20, 1 << 30), 20_000
 #: Cut points found in one pass; more are found within the ranges between these.
 COARSE = 1000
 _LOW = -(1 << 63)
 
 
 def bin_count(df: DataFrame) -> int:
-    """Range bins for the files that a table is read from, by their size: a bin never stands for more than 128 MB of files."""
+    """Range bins for the files that a table is read from, by their size: a bin never stands for more than 1 GB of files."""
     spark = df.sparkSession
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     if size > 1 << 60:  # not from files, and not cached
         return int(spark.conf.get("spark.sql.shuffle.partitions"))
-    per_bin = min(BIN_BYTES[1], max(BIN_BYTES[0], size // (4 * spark.sparkContext.defaultParallelism)))
+    per_bin = min(BIN_BYTES[1], max(BIN_BYTES[0], size // BINS))
     return max(1, -(-size // per_bin))
 
 

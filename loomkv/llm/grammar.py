@@ -1,6 +1,6 @@
 """Re-Pair grammars of integer sequences, in numpy: pairs of neighbouring symbols are replaced until none occurs twice.
 
-Rounds take the pairs in order of frequency: each round all pairs that occur at least an eighth as often as the most
+Rounds take the pairs in order of frequency: each round all pairs that occur at least a thirty-second as often as the most
 frequent one, then all that occur twice, until there are none. Of occurrences that overlap, the one of the more
 frequent pair stays. A pair that keeps fewer than two occurrences that way gets no rule in this round. There is no
 bound on rounds or rules.
@@ -26,169 +26,133 @@ def _apart(at: np.ndarray, group: np.ndarray) -> np.ndarray:
     return nth % 2 == 0
 
 
-def _settle(rank: np.ndarray, at: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+def _settle(rank: np.ndarray, at: np.ndarray, group: np.ndarray) -> np.ndarray:
     """Which occurrences (sorted by place) are replaced; rank: of each group, the lower the better.
 
     An occurrence wins if no better one that can still win touches it. Groups with fewer than two winners leave, and
     what they kept from winning is tried again, so every occurrence of a group that stays is replaced or destroyed.
     """
-    n = len(at)
+    n, worst = len(at), np.int32(2**31 - 1)
     near = np.zeros(n + 1, bool)  # near[i]: occurrence i touches i - 1
-    near[1:n] = at[1:] - at[:-1] == 1
-    mine = np.full(n + 2, np.iinfo(np.int32).max, np.int32)
-    won = np.zeros(n + 2, bool)
+    np.equal(at[1:] - at[:-1], 1, out=near[1:n])
+    mine = np.full(n + 2, worst)
     mine[1:-1] = rank[group]
-    worst = mine[0]
-    alive = np.arange(n, dtype=np.int32)
+    me = mine[1:-1]
+    # the first look, at all of them
+    won = np.zeros(n + 2, bool)
+    won[1:-1] = ((me < mine[:-2]) | ~near[:-1]) & ((me <= mine[2:]) | ~near[1:])
+    lost = (won[:-2] & near[:-1]) | (won[2:] & near[1:])
+    lost |= won[1:-1]
+    alive = np.flatnonzero(~lost).astype(np.int32)
+    kept = mine[alive + 1]
+    mine[:] = worst
+    mine[alive + 1] = kept
     while True:
         while len(alive):
             left = np.where(near[alive], mine[alive], worst)
             right = np.where(near[alive + 1], mine[alive + 2], worst)
             me = mine[alive + 1]
-            win = (me < left) & (me <= right)
-            w = alive[win]
+            w = alive[(me < left) & (me <= right)]
             won[w + 1] = True
             mine[w + 1] = worst
             lost = np.concatenate([w[near[w]] - 1, w[near[w + 1]] + 1])
             mine[lost + 1] = worst
             alive = alive[mine[alive + 1] != worst]
-        size = np.bincount(group[won[1:-1]], minlength=groups)
-        gone = (size == 1)[group] & won[1:-1]
-        if not gone.any():
+        size = np.bincount(group[won[1:-1]], minlength=len(rank))
+        if not (size == 1).any():
             return won[1:-1]
-        won[1:-1][gone] = False
-        weak = size < 2
-        free = ~weak[group] & ~won[1:-1]
+        won[1:-1] &= (size != 1)[group]
+        free = (size >= 2)[group] & ~won[1:-1]
         free &= ~(near[:-1] & won[:-2]) & ~(near[1:] & won[2:])
         alive = np.flatnonzero(free).astype(np.int32)
         mine[alive + 1] = rank[group[alive]]
 
 
-class _Rounds:
-    def __init__(self, seq: np.ndarray, base: int):
-        self.seq, self.next, self.rules = seq.astype(np.uint32), base, []
+def _pairs(seq: np.ndarray, at: np.ndarray | None, symbols: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Pairs (left << side | right) at the places (None: all), the places, in order of pair and place; the side."""
+    side, bits = max(1, (symbols - 1).bit_length()), max(1, len(seq).bit_length())
+    key = seq[:-1].astype(_U) if at is None else seq[at].astype(_U)
+    if 2 * side + bits <= 64:  # in one number, which sorts fastest
+        key <<= _U(side)
+        key |= seq[1:] if at is None else seq[at + 1]
+        key <<= _U(bits)
+        key |= np.arange(len(key), dtype=_U) if at is None else at.astype(_U)
+        key.sort()
+        at = (key & _U((1 << bits) - 1)).astype(np.int32)
+        key >>= _U(bits)
+        return key, at, side
+    key <<= _U(32)
+    key |= seq[1:] if at is None else seq[at + 1]
+    order = np.argsort(key, kind="stable")
+    return key[order], order.astype(np.int32) if at is None else at[order], 32
 
-    def replace(self, at: np.ndarray, group: np.ndarray, pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Replace occurrences (sorted by place) of the pairs (keys left << 32 | right); where the new symbols stood."""
-        order = np.sort(((counts.max() - counts).astype(_U) << _U(32)) | np.arange(len(pairs), dtype=_U)).astype(np.uint32)
-        rank = np.empty(len(pairs), np.int32)  # most frequent first, ties by the pair
-        rank[order] = np.arange(len(pairs), dtype=np.int32)
-        won = _settle(rank, at, group, len(pairs))
-        size = np.bincount(group[won], minlength=len(pairs))
-        used = size > 0
-        name = self.next + np.cumsum(used) - 1
-        self.next += int(used.sum())
-        self.rules.append(pairs[used])
-        hit = at[won]
-        self.seq[hit] = name[group[won]]
-        keep = np.ones(len(self.seq), bool)
-        keep[hit + 1] = False
-        self.seq = self.seq[keep]
-        return hit
 
-    def frequent(self) -> bool:
-        """A round of the frequent pairs; false if it leaves little to do for another one."""
-        seq = self.seq
-        if len(seq) < 2:
-            return False
-        narrow = self.next <= 1 << 16
-        half, kind = (16, np.uint32) if narrow else (32, _U)
-        keys = seq[:-1].astype(kind)
-        keys <<= kind(half)
-        keys |= seq[1:]
-        ordered = np.sort(keys)
-        starts = np.flatnonzero(ordered[1:] != ordered[:-1])
-        starts += 1
-        starts = np.append(0, starts)
-        counts = np.diff(np.append(starts, len(ordered)))
+def compress(seq: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rules (pairs of symbols; rule k makes symbol base + k) and the sequence in which no pair occurs twice without overlap.
+
+    Once all pairs are taken that occur twice, only places beside new symbols are looked at, and those that remain of
+    the pairs just taken: a pair that occurs once never comes to occur twice, for only new symbols make new pairs.
+    """
+    seq, symbols, rules = seq.astype(np.uint32), base, []
+    at: np.ndarray | None = None
+    rest = False
+    while len(seq) > 1 and (at is None or len(at)):
+        key, place, side = _pairs(seq, at, symbols)
+        start = np.flatnonzero(key[1:] != key[:-1])
+        start += 1
+        start = np.append(np.append(0, start), len(key))
+        counts = np.diff(start)
         most = int(counts.max())
-        if most < FEW:
-            return False
-        least = max(FEW, most // 8)
+        rest = rest or most < FEW
+        least = 2 if rest else max(FEW, most // 32)
         often = counts >= least
-        pairs, counts = ordered[starts[often]], counts[often]
-        left, right = np.zeros(self.next, bool), np.zeros(self.next, bool)
-        left[pairs >> kind(half)] = True
-        right[pairs & kind((1 << half) - 1)] = True
-        at = np.flatnonzero(left[seq[:-1]] & right[seq[1:]])
-        group = np.minimum(np.searchsorted(pairs, keys[at]), len(pairs) - 1)
-        hit = pairs[group] == keys[at]
-        at, group = at[hit], group[hit]
-        twin = (pairs >> kind(half)) == (pairs & kind((1 << half) - 1))
-        if twin.any():  # only a pair of equal symbols can overlap itself
-            own = twin[group]
-            order = np.argsort(group[own], kind="stable")
-            ok = np.ones(len(at), bool)
-            mine = np.flatnonzero(own)[order]
-            ok[mine] = _apart(at[mine], group[mine])
-            at, group = at[ok], group[ok]
+        if not often.any():
+            break
+        pairs, counts = key[start[:-1][often]], counts[often]
+        place = place[np.repeat(often, np.diff(start))]
+        group = np.repeat(np.arange(len(pairs), dtype=np.int32), counts)
+        left, right = pairs >> _U(side), pairs & _U((1 << side) - 1)
+        every = place
+        own = np.flatnonzero(left == right)  # only a pair of equal symbols can overlap itself
+        if len(own):
+            mine = np.flatnonzero((left == right)[group])
+            ok = np.ones(len(place), bool)
+            ok[mine] = _apart(place[mine], group[mine])
+            place, group = place[ok], group[ok]
             counts = np.bincount(group, minlength=len(pairs))
-        wide = (pairs.astype(_U) >> _U(half)) << _U(32) | (pairs.astype(_U) & _U((1 << half) - 1))
-        self.replace(at, group, wide, counts)
-        return len(self.seq) < 0.98 * len(seq)
-
-    def rest(self) -> None:
-        """All pairs that occur twice, until there are none. A pair that occurs once never comes to occur twice: only new symbols make new pairs."""
-        at = np.arange(max(0, len(self.seq) - 1))
-        while len(at):
-            seq = self.seq
-            bits = max(1, (len(seq) - 1).bit_length())
-            side = max(1, (self.next - 1).bit_length())
-            a, b = seq[at].astype(_U), seq[at + 1].astype(_U)
-            if 2 * side + bits <= 64:
-                both = np.sort((((a << _U(side)) | b) << _U(bits)) | at.astype(_U))
-                at = (both & _U((1 << bits) - 1)).astype(np.int64)
-                key = both >> _U(bits)
-            else:
-                side = 32
-                key = (a << _U(32)) | b
-                order = np.argsort(key, kind="stable")
-                at, key = at[order], key[order]
-            same = key[1:] == key[:-1]
-            twice = np.append(same, False) | np.append(False, same)
-            at, key = at[twice], key[twice]
-            if not len(at):
-                return
-            first = np.append(True, key[1:] != key[:-1])
-            group = np.cumsum(first, dtype=np.int32) - 1
-            pairs, every = key[first], at
-            twin = (pairs >> _U(side)) == (pairs & _U((1 << side) - 1))
-            if twin.any():
-                own = np.flatnonzero(twin[group])
-                ok = np.ones(len(at), bool)
-                ok[own] = _apart(at[own], group[own])
-                at, group = at[ok], group[ok]
-            counts = np.bincount(group, minlength=len(pairs))
-            pairs = (pairs >> _U(side)) << _U(32) | (pairs & _U((1 << side) - 1))
-            n = len(seq)
-            of = np.full(n, -1, np.int32)  # the group of each place
-            of[at] = np.where(counts >= 2, np.arange(len(pairs), dtype=np.int32), np.int32(-1))[group]
-            at = np.flatnonzero(of >= 0)
-            if not len(at):
-                return
-            before = self.next
-            hit = self.replace(at, of[at], pairs, counts)
-            if self.next == before:
-                return
-            gone = np.zeros(n, bool)
-            gone[hit + 1] = True
-            moved = np.cumsum(~gone) - 1
+        order = np.sort(((counts.max() - counts).astype(_U) << _U(32)) | np.arange(len(pairs), dtype=_U)).astype(np.uint32)
+        rank = np.empty(len(pairs), np.int32)  # most frequent first, ties by the pair
+        rank[order] = np.arange(len(pairs), dtype=np.int32)
+        of = np.full(len(seq), -1, np.int32)  # the group of each place
+        of[place] = group
+        place = np.flatnonzero(of >= 0).astype(np.int32)
+        group = of[place]
+        won = _settle(rank, place, group)
+        hit, group = place[won], group[won]
+        used = np.bincount(group, minlength=len(pairs)) > 0
+        if len(hit):
+            name = (symbols - 1 + np.cumsum(used)).astype(np.uint32)
+            symbols += int(used.sum())
+            rules.append(np.stack([left[used], right[used]], axis=1).astype(np.uint32))
+            seq[hit] = name[group]
+        elif rest:
+            break
+        keep = np.ones(len(seq), bool)
+        keep[hit + 1] = False
+        short = seq[keep]
+        if rest:
+            moved = np.cumsum(keep, dtype=np.int32)
+            moved -= 1
             new = moved[hit]
-            touched = np.zeros(n + 1, bool)
+            touched = np.zeros(len(seq) + 1, bool)
             touched[hit] = touched[hit + 1] = True
-            left = every[~touched[every] & ~touched[every + 1]]  # what still stands may yet occur twice
-            mark = np.zeros(len(self.seq) + 1, bool)
+            left_over = every[~(touched[every] | touched[every + 1])]
+            mark = np.zeros(len(short) + 1, bool)
             mark[new] = True
             mark[new[new > 0] - 1] = True
-            mark[moved[left]] = True
-            at = np.flatnonzero(mark[: max(0, len(self.seq) - 1)])
-
-
-def compress(seq: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rules (pairs of symbols; rule k makes symbol base + k) and the sequence in which no pair occurs twice without overlap."""
-    r = _Rounds(seq, base)
-    while r.frequent():
-        pass
-    r.rest()
-    pairs = np.concatenate(r.rules) if r.rules else np.zeros(0, _U)
-    return np.stack([pairs >> _U(32), pairs & _U(0xFFFFFFFF)], axis=1).astype(np.uint32), r.seq
+            mark[moved[left_over]] = True
+            at = np.flatnonzero(mark[: len(short) - 1]).astype(np.int32)
+        else:
+            rest = len(short) > 0.98 * len(seq)  # little to do for another such round
+        seq = short
+    return (np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)), seq

@@ -38,10 +38,17 @@ SAMPLE = 1024
 
 
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
-    out: list[int] = []
-    for a, b in rules.tolist():
-        out.append((out[a - base] if a >= base else 1) + (out[b - base] if b >= base else 1))
-    return np.array(out, np.uint32)
+    """Rules come in runs that don't refer to themselves: a run at a time."""
+    out, at = np.zeros(len(rules), np.uint32), 0
+    inner = np.where(rules >= base, rules.astype(np.int64) - base, -1)
+    newest = inner.max(axis=1) if len(rules) else np.zeros(0, np.int64)
+    while at < len(rules):
+        within = newest[at:] >= at
+        end = at + int(within.argmax()) if within.any() else len(rules)
+        part = inner[at:end]
+        out[at:end] = np.where(part >= 0, out[part], 1).sum(axis=1)
+        at = end
+    return out
 
 
 def _sizes(seq: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
@@ -51,20 +58,37 @@ def _sizes(seq: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
     return out
 
 
-def expand(seq: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
-    """All ids of a sequence: each nonterminal's two symbols are put where they begin, until none is left."""
-    sizes = _sizes(seq, lengths, base)
-    at = np.cumsum(sizes) - sizes
+def _table(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
+    """Expansions of nonterminals, end to end: each symbol gives way to its two symbols, put where they begin, until terminals are left."""
+    sizes = _sizes(symbols, lengths, base)
     out = np.empty(int(sizes.sum()), np.uint32)
+    seq, at = symbols, np.cumsum(sizes) - sizes
     while len(seq):
-        inner = seq >= base
-        out[at[~inner]] = seq[~inner]
-        pairs, at = rules[seq[inner] - np.uint32(base)], at[inner]
+        pairs = rules[seq - np.uint32(base)]
         left, right = pairs[:, 0], pairs[:, 1]
         seq, at = np.concatenate([left, right]), np.concatenate([at, at + _sizes(left, lengths, base)])
+        last = seq < base
+        out[at[last]] = seq[last]
+        seq, at = seq[~last], at[~last]
     return out
 
 
+def expand(seq: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
+    """All ids of a sequence, from a table of the expansions of its distinct nonterminals, which has no more ids than the sequence gives."""
+    inner = np.flatnonzero(seq >= base)
+    which = seq[inner] - np.uint32(base)
+    used = np.flatnonzero(np.bincount(which, minlength=len(rules)))
+    table = _table((used + base).astype(np.uint32), rules, lengths, base)
+    start = np.zeros(len(rules), np.int64)
+    start[used] = np.cumsum(lengths[used], dtype=np.int64) - lengths[used]
+    sizes, at = np.ones(len(seq), np.int64), np.arange(len(table), len(table) + len(seq))  # a terminal stands for itself
+    sizes[inner], at[inner] = lengths[which], start[which]
+    ends = np.cumsum(sizes)
+    place = np.repeat(at - (ends - sizes), sizes)
+    place += np.arange(len(place))
+    return np.concatenate([table, seq])[place]
+
+
 def _narrow(symbols: np.ndarray, width: int) -> bytes:
     return np.ascontiguousarray(symbols.astype("<u4").reshape(-1, 1).view(np.uint8)[:, :width]).tobytes()
 
