@@ -1,6 +1,7 @@
 """Operators 4, 5, 6 and 9 against plain models."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -98,6 +99,84 @@ def test_op6_chain(make_docs):
     assert got == want and set(want.values()) == {0}
 
 
+def family(r, n, share, words=120):
+    """Texts of one template, each with its own words in place of a share of it."""
+    template = [f"t{i}" for i in range(words)]
+    out = []
+    for d in range(n):
+        at = r.randrange(words - int(share * words) + 1)
+        out.append(" ".join(template[:at] + [f"d{d}x{i}" for i in range(int(share * words))] + template[at + int(share * words) :]))
+    return out
+
+
+@pytest.mark.parametrize("bucket", [2, 20])
+def test_op6_large_buckets(make_docs, monkeypatch, bucket):
+    """Buckets joined by rare shingles give the components of all pairs; similarities lie on both sides of the threshold."""
+    monkeypatch.setattr(near_dup, "BUCKET", bucket)
+    r = random.Random(6)
+    texts = [t for share in (0.02, 0.05, 0.08, 0.1, 0.12, 0.2) for t in family(r, 25, share)] + family(r, 30, 0.06, 60)
+    ids = list(range(len(texts)))
+    r.shuffle(ids)
+    want, _ = grouped(texts, ids, 4, 80)
+    got = {x.doc_id: x.component_id for x in near_dup.near_duplicates(make_docs(texts, ids), 4, 80).collect()}
+    assert got == want and 1 < len(set(want.values())) < len(ids)
+
+
+def test_op6_templates_dont_meet(spark, make_docs):
+    """Pages of one template at a similarity of 0.6 or 0.7: candidates stay in proportion to the pages."""
+    for share in (0.24, 0.17):
+        for n in (1000, 4000):
+            df = make_docs(family(random.Random(n), n, share))
+            hot = df.selectExpr("doc_id as rep", "doc_id as comp")
+            assert near_dup.prefix_pairs(hot, df, 4, 80).count() <= n // 10
+
+
+def test_op6_whole_table(spark):
+    """Components of 10,000 documents are those of all pairs, counted by shared shingles."""
+    import os
+
+    import numpy as np
+
+    path = "/root/testdata/sf0.1/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no table")
+    df = spark.read.parquet(path)
+    rows = [(r.doc_id, (r.text or "").encode()) for r in df.select("doc_id", "text").collect()]
+    names, digests = {}, []
+    for i, (_, t) in enumerate(rows):  # shingles as words, in sets
+        w = re.findall(rb"[^\x20\x09-\x0D]+", t.translate(bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))))
+        grams = {b" ".join(w[j : j + 4]) for j in range(len(w) - 3)} if len(w) >= 4 else ({b" ".join(w)} if w else set())
+        digests.append(np.fromiter({names.setdefault(g, len(names)) for g in grams}, np.int64, len(grams)))
+    size = np.array([len(d) for d in digests])
+    same: dict[bytes, list[int]] = {}
+    for i, d in enumerate(digests):
+        if len(d):
+            same.setdefault(np.sort(d).tobytes(), []).append(i)
+    reps = [x[0] for x in same.values()]
+    owner = np.repeat(reps, size[reps])
+    token = np.concatenate([digests[i] for i in reps])
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+    many = np.diff(np.append(start, len(token)))
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for d in np.unique(many[many > 1]).tolist():
+        group = np.sort(owner[start[many == d][:, None] + np.arange(d)], axis=1)
+        i, j = np.triu_indices(d, 1)
+        for lo in range(0, len(group), step := max(1, 20_000_000 // len(i))):
+            found, n = np.unique(group[lo : lo + step][:, i] * len(rows) + group[lo : lo + step][:, j], return_counts=True)
+            keys, back = np.unique(np.concatenate([keys, found]), return_inverse=True)
+            counts = np.bincount(back, np.concatenate([counts, n])).astype(np.int64)
+    a, b = keys // len(rows), keys % len(rows)
+    ok = 100 * counts >= 80 * (size[a] + size[b] - counts)
+    doc = np.array([i for i, _ in rows])
+    links = list(zip(doc[a[ok]].tolist(), doc[b[ok]].tolist())) + [(int(doc[x[0]]), int(doc[y])) for x in same.values() for y in x[1:]]
+    found = components.union_find(links)
+    got = near_dup.near_duplicates(df, 4, 80).collect()
+    assert {r.doc_id: r.component_id for r in got} == {int(d): found.get(int(d), int(d)) for d in doc}
+    assert {r.doc_id: r.n_shingles for r in got} == dict(zip(doc.tolist(), size.tolist()))
+
+
 def test_op6_repeated_rows(make_docs):
     got = near_dup.near_duplicates(make_docs(["a b c d e f"] * 3 + ["z y x w v u"], [4, 4, 9, 4]), 4, 80).collect()
     assert {(r.doc_id, r.component_id) for r in got} == {(4, 4), (9, 4)} and len(got) == 4
