@@ -29,38 +29,106 @@ def test_base_statistics(docs, make_docs, texts):
         assert got == {i: base(t) for i, t in enumerate(ts)}
 
 
-def mcd(x, share, steps):
-    """The same steps in numpy."""
-    floor = np.diag(np.square(quality_rules.FLOOR))
-
-    def mid(v):
-        v = np.floor(v / 0.005)
-        return np.array([(np.sort(c)[int(np.ceil(len(c) / 2)) - 1] + 0.5) * 0.005 for c in v.T])
-
-    m = mid(x)
-    cov = np.diag((1.4826 * mid(np.abs(x - m))) ** 2) + floor
-    d2 = lambda: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(cov), x - m)
-    for _ in range(steps):
-        b = np.floor(np.log(d2() + 1e-9) / 0.02)
-        near = x[b <= np.sort(b)[int(np.ceil(len(x) * share)) - 1]]
-        m, cov = near.mean(axis=0), quality_rules.consistency(share) * np.cov(near.T, bias=True) + floor
-    near = x[d2() <= quality_rules.chi2_quantile(0.975)]
-    m, cov = near.mean(axis=0), quality_rules.consistency(0.975) * np.cov(near.T, bias=True) + floor
-    return d2()
-
-
-def test_op2(spark, make_docs):
+def drawn(n, mean, cov, to_mean, to_cov):
+    w = n / (n + quality_rules.DRAWN)
+    mean, cov = w * mean + (1 - w) * to_mean, w * cov + (1 - w) * to_cov
+    cov[np.diag_indices(4)] = np.maximum(np.diag(cov), quality_rules.LEAST**2 * np.diag(to_cov))
+    return mean, cov
+
+
+def distances(x, mean, cov):
+    return np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+
+
+def mcd(x, towards, share=0.75, steps=3):
+    """The estimate on rows, without a grid."""
+    quartiles = np.percentile(x, [25, 50, 75], axis=0)
+    mean, cov = drawn(len(x), quartiles[1], np.diag(((quartiles[2] - quartiles[0]) / 1.349) ** 2), *towards)
+    for step in range(steps + 1):
+        d2, p = distances(x, mean, cov), share if step < steps else 0.975
+        near = x[np.argsort(d2, kind="stable")[: int(np.ceil(share * len(x)))]] if step < steps else x[d2 <= quality_rules.chi2_quantile(0.975)]
+        mean, cov = drawn(len(near), near.mean(axis=0), quality_rules.consistency(p) * np.cov(near.T, bias=True), *towards)
+    return mean, cov
+
+
+def sentences(r, n, marks, capitals=None):
+    """n words with so many full stops, and as many words with a capital unless told otherwise."""
+    words = ["".join(r.choices("abcdefgh", k=r.randint(2, 9))) for _ in range(n)]
+    for i in r.sample(range(n), marks):
+        words[i] += "."
+    for i in r.sample(range(n), marks if capitals is None else capitals):
+        words[i] = words[i].capitalize()
+    return " ".join(words)
+
+
+@pytest.fixture(scope="module")
+def sourced(spark):
+    """Two languages, sources of 300, 60 and 4 documents; English has junk in one source."""
     r = random.Random(8)
-    word = lambda: "".join(r.choices("abcdefgh", k=r.randint(2, 9)))
-    texts = [" ".join(word() for _ in range(r.randint(40, 200))) for _ in range(500)]
-    texts += [" ".join(word() + "###" for _ in range(80)) for _ in range(40)] + [None, "few"]
-    df = make_docs(texts).withColumns({"lang": __import__("pyspark").sql.functions.lit("en"), "source": __import__("pyspark").sql.functions.lit(None).cast("string")})
+    rows = []
+    for lang, source, n, marks in (("en", "a", 300, (10, 30)), ("en", "b", 60, (20, 40)), ("en", None, 4, (10, 30)), ("de", "a", 80, (5, 12)), (None, "c", 5, (10, 20))):
+        for _ in range(n):
+            words = r.randint(80, 200)
+            rows.append((len(rows), sentences(r, words, words * r.randint(*marks) // 200), lang, source))
+    junk = list(range(len(rows), len(rows) + 12))
+    rows += [(i, " ".join(w + "###" for w in sentences(r, 80, 4).split()), "en", "b") for i in junk] + [(9998, None, "en", "a"), (9999, "few", "en", "a")]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").repartition(3), junk
+
+
+def test_op2(sourced):
+    """Each language and source has its own estimate: as on rows without a grid, but for the width of the cells."""
+    df, junk = sourced
+    got = {x.doc_id: x for x in quality_rules.quality_rules(df).collect()}
+    rows = quality_rules.vector(quality_rules.base_statistics(df)).collect()
+    rows = [v for v in rows if not got[v.doc_id].base_failed]
+    x = np.array([[v[f"x{i}"] for i in range(4)] for v in rows])
+    quartiles = np.percentile(x, [25, 50, 75], axis=0)
+    whole = quartiles[1], np.diag(((quartiles[2] - quartiles[0]) / 1.349) ** 2)
+    lang, source = ([v[c] for v in rows] for c in ("lang", "source"))
+    for g in set(lang):
+        of_lang = mcd(x[[v == g for v in lang]], whole)
+        for s in {b for a, b in zip(lang, source) if a == g}:
+            mine = [i for i, v in enumerate(rows) if (v.lang, v.source) == (g, s)]
+            want = distances(x[mine], *mcd(x[mine], of_lang))
+            have = np.array([got[rows[i].doc_id].d2 for i in mine])
+            assert np.median(np.abs(np.log(have / want))) < 0.25, (g, s)
+            assert ((have <= 47.9) == (want <= 47.9)).mean() > 0.98
+    assert not any(got[i].kept for i in [*junk, 9998, 9999]) and got[9998].base_failed and got[9999].base_failed
+    assert np.mean([r.kept for i, r in got.items() if i not in junk and i < 9000]) > 0.99
+
+
+def test_op2_needs_the_covariance(spark):
+    """Documents of which no number is extreme, but their combination: as many stops as some have, as few capitals as others."""
+    r = random.Random(9)
+    rows = [(i, sentences(r, 200, r.randint(10, 60)), "en", "a") for i in range(400)] + [(i, sentences(r, 200, 55, 12), "en", "a") for i in range(400, 410)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
     got = {x.doc_id: x for x in quality_rules.quality_rules(df).collect()}
-    vec = quality_rules.vector(quality_rules.base_statistics(df)).orderBy("doc_id").collect()
-    want = mcd(np.array([[v[f"x{i}"] for i in range(4)] for v in vec]), 0.75, 6)
-    assert np.allclose([got[i].d2 for i in range(len(texts))], want, rtol=1e-6, atol=1e-9)
-    assert all(got[i].kept for i in range(500)) and not any(got[i].kept for i in range(500, 542))
-    assert got[540].base_failed and got[541].base_failed
+    vec = {v.doc_id: np.array([v[f"x{i}"] for i in range(4)]) for v in quality_rules.vector(quality_rules.base_statistics(df)).collect()}
+    clean = np.array([vec[i] for i in range(400)])
+    alone = {i: (((vec[i] - clean.mean(axis=0)) / clean.std(axis=0)) ** 2).sum() for i in vec}
+    assert all(alone[i] < 20 and not got[i].kept and got[i].d2 > 100 for i in range(400, 410))  # each number by itself keeps them
+    assert sum(got[i].kept for i in range(400)) >= 398
+
+
+def test_op2_nothing_switches(spark):
+    """A document's distance changes smoothly as its source grows."""
+    r = random.Random(10)
+    rows = [(i, sentences(r, 150, r.randint(10, 30)), "en", "ab"[i % 2]) for i in range(430)]
+    seen = []
+    for n in (390, 400, 410, 430):
+        got = quality_rules.quality_rules(spark.createDataFrame(rows[:n], "doc_id bigint, text string, lang string, source string")).collect()
+        seen.append({x.doc_id: x.d2 for x in got if x.doc_id < 390})
+    for a, b in zip(seen, seen[1:]):
+        change = np.array([abs(np.log(a[i] / b[i])) for i in a])
+        assert np.median(change) < 0.1 and np.percentile(change, 95) < 0.5
+
+
+def test_op2_repeated_and_null_ids(make_docs):
+    r = random.Random(1)
+    texts = [sentences(r, 60, 4) for _ in range(4)] * 2 + [None]
+    got = quality_rules.quality_rules(make_docs(texts, [1, 1, None, None, 5, 1, None, None, None])).collect()
+    assert len(got) == 9 and sorted(str(x.doc_id) for x in got) == ["1", "1", "1", "5", "None", "None", "None", "None", "None"]
+    assert sum(x.kept for x in got) == 8
 
 
 def test_op2_odd(docs, empty, texts):
