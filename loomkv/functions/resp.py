@@ -47,6 +47,11 @@ def encode(v: Column) -> Column:
     return F.when(v["tag"] == "$", encode_bulk(v["str"])).when(v["tag"] == ":", F.concat(F.lit(":"), v["int"].cast("string"), F.lit(CRLF))).otherwise(F.concat(v["tag"], v["str"], F.lit(CRLF)))
 
 
+def encode_array(texts: Column) -> Column:
+    """An array of bulk strings, of ARRAY<STRING>."""
+    return F.concat(F.lit("*"), F.size(texts).cast("string"), F.lit(CRLF), F.array_join(F.transform(texts, encode_bulk), ""))
+
+
 def encode_command(name: Column, args: Column) -> Column:
     """An array of bulk strings: the name, then ARRAY<STRING> of arguments."""
     head = F.concat(F.lit("*"), (F.size(args) + 1).cast("string"), F.lit(CRLF), encode_bulk(name))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ALIVE, SUSPECT, DEAD = 0, 1, 2
@@ -36,9 +36,16 @@ def detect_failures(members: DataFrame, self_id: str, now, timeout: int) -> Data
     return members.withColumn("state", F.when(dead, DEAD).otherwise(F.col("state")).cast("int"))
 
 
-def bump(members: DataFrame, self_id: str, now) -> DataFrame:
+def bump(members: DataFrame, self_id, now=None) -> DataFrame:
+    """The incarnation of self, one higher; where now is given, last_seen is set to it."""
     me = F.col("id") == self_id
-    return members.withColumns({"incarnation": F.when(me, F.col("incarnation") + 1).otherwise(F.col("incarnation")), "last_seen": F.when(me, now).otherwise(F.col("last_seen"))})
+    out = members.withColumn("incarnation", F.when(me, F.col("incarnation") + 1).otherwise(F.col("incarnation")))
+    return out if now is None else out.withColumn("last_seen", F.when(me, now).otherwise(F.col("last_seen")))
+
+
+def _order(seed: int, *ids: str) -> Column:
+    """A random order that any engine can give: the seed decides."""
+    return F.md5(F.concat_ws("/", F.lit(str(seed)), *ids))
 
 
 def transitions(history: DataFrame) -> DataFrame:
@@ -55,8 +62,8 @@ def transitions(history: DataFrame) -> DataFrame:
 
 def gossip_round(spark: SparkSession, views: DataFrame, fanout: int, seed: int) -> DataFrame:
     """views: observer, id, addr, state, incarnation. Each observer bumps itself and sends its view to `fanout` random alive peers."""
-    bumped = views.withColumn("incarnation", F.when(F.col("observer") == F.col("id"), F.col("incarnation") + 1).otherwise(F.col("incarnation")))
-    pick = Window.partitionBy("observer").orderBy(F.xxhash64(F.lit(seed), "observer", "id"), "id")
+    bumped = bump(views, F.col("observer"))
+    pick = Window.partitionBy("observer").orderBy(_order(seed, "observer", "id"))
     peers = bumped.where((F.col("state") == ALIVE) & (F.col("id") != F.col("observer"))).withColumn("n", F.row_number().over(pick)).where(F.col("n") <= fanout)
     sent = bumped.join(peers.select("observer", F.col("id").alias("to")), "observer").select(F.col("to").alias("observer"), "id", "addr", "state", "incarnation")
     every = bumped.select("observer", "id", "addr", "state", "incarnation").union(sent)
@@ -68,4 +75,4 @@ def gossip_round(spark: SparkSession, views: DataFrame, fanout: int, seed: int)
 
 def pick_peers(members: DataFrame, self_id: str, k: int, seed: int) -> DataFrame:
     """k alive members other than self; the seed decides which."""
-    return alive(members).where(F.col("id") != self_id).orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(k)
+    return alive(members).where(F.col("id") != self_id).orderBy(_order(seed, "id")).limit(k)

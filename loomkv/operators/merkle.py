@@ -10,6 +10,10 @@ from loomkv.functions.hashing import limbs, merkle_bucket, next_power_of_two
 LIMBS = [f"l{i}" for i in range(8)]
 
 
+def bucket_of(key: Column, count: int) -> Column:
+    return merkle_bucket(key, next_power_of_two(count))
+
+
 def digest(key: Column, blob: Column) -> Column:
     """sha256 over the key's digest and the blob, in hex; the key's part has a fixed width."""
     return F.sha2(F.concat(F.unhex(F.sha2(key, 256)), F.encode(blob, "UTF-8")), 256)

@@ -14,6 +14,7 @@ def need(quorum: int, owners: Column) -> Column:
 
 
 def error(op: str, got: Column, of: Column) -> Column:
+    """of: how many replicas were needed."""
     return F.format_string(f"ERR {op} quorum not met: %d of %d replicas", got, of)
 
 
@@ -21,8 +22,8 @@ def acknowledged(writes: DataFrame, quorum: int, op: str, ok: Column) -> DataFra
     """Adds acks and reply to writes that have owners, self and up (the nodes that are reachable); self counts as one."""
     peers = F.array_remove(F.col("owners"), F.col("self"))
     acks = 1 + F.size(F.array_intersect(peers, F.col("up")))
-    enough = acks >= need(quorum, F.col("owners"))
-    return writes.withColumns({"acks": acks, "reply": F.when(enough, ok).otherwise(error(op, acks, F.size("owners")))})
+    needed = need(quorum, F.col("owners"))
+    return writes.withColumns({"acks": acks, "reply": F.when(acks >= needed, ok).otherwise(error(op, acks, needed))})
 
 
 def hints(writes: DataFrame) -> DataFrame:
@@ -64,10 +65,20 @@ def read(held: DataFrame, responders: list[str]) -> DataFrame:
     return V.reconcile_few(first, "key")
 
 
-def reply(merged: DataFrame) -> DataFrame:
+def read_from(held: DataFrame, sets_: DataFrame) -> DataFrame:
+    """The same for sets of responders that differ: sets_ has key and asked, the responders in order. Adds asked to key."""
+    each = sets_.select("key", "asked", F.posexplode("asked").alias("place", "replica"))
+    own = V.reconcile(held, "replica", "key").join(each, ["replica", "key"])
+    first = own.groupBy("key", "asked", "seq").agg(F.min("place").alias("place"), *[F.first(c).alias(c) for c in ("coord", "value", "clock", "deleted")])
+    return V.reconcile(first, "key", "asked")
+
+
+def reply(merged: DataFrame, *key: str) -> DataFrame:
     """The first live version of each key; null where only tombstones are left."""
+    key = key or ("key",)
     at = F.when(~F.col("deleted"), F.struct("place", "seq"))
-    return merged.groupBy("key").agg(F.min_by("value", at).alias("value"), F.min(at).alias("_at")).select("key", F.when(F.col("_at").isNotNull(), F.col("value")).alias("value"), F.col("_at.seq").alias("seq"), F.col("_at").isNotNull().alias("hit"))
+    out = merged.groupBy(*key).agg(F.min_by("value", at).alias("value"), F.min(at).alias("_at"))
+    return out.select(*key, F.when(F.col("_at").isNotNull(), F.col("value")).alias("value"), F.col("_at.seq").alias("seq"), F.col("_at").isNotNull().alias("hit"))
 
 
 def repairs(merged: DataFrame, held: DataFrame, responders: list[str]) -> DataFrame:

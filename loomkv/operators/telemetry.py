@@ -49,11 +49,12 @@ def events(spark: SparkSession, seen: DataFrame, registered: list[str]) -> DataF
     return F.broadcast(names).join(seen.groupBy("event").agg(F.count("*").alias("n")), "event", "left").select("event", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
-def report(counted: DataFrame, quantiles_: DataFrame, gauges: DataFrame) -> DataFrame:
-    """ord, line: a line per command, then one per gauge."""
+def report(counted: DataFrame, quantiles_: DataFrame, gauges: DataFrame, events_: DataFrame) -> DataFrame:
+    """ord, line: a line per command, then one per gauge, then one per event."""
     wide = quantiles_.groupBy("command").agg(F.max(F.when(F.col("q") == 0.5, F.col("ns"))).alias("p50"), F.max(F.when(F.col("q") == 0.99, F.col("ns"))).alias("p99"))
     rows = counted.join(wide, "command", "left").select(
         F.concat(F.lit("0 "), "command").alias("ord"),
         F.format_string("%s total=%d hits=%d misses=%d errors=%d p50=%dns p99=%dns", "command", "total", "hits", "misses", "errors", F.coalesce("p50", F.lit(0)), F.coalesce("p99", F.lit(0))).alias("line"),
     )
-    return rows.union(gauges.select(F.concat(F.lit("1 "), "gauge").alias("ord"), F.format_string("%s:%d", "gauge", "n").alias("line")))
+    rows = rows.union(gauges.select(F.concat(F.lit("1 "), "gauge").alias("ord"), F.format_string("%s:%d", "gauge", "n").alias("line")))
+    return rows.union(events_.select(F.concat(F.lit("2 "), "event").alias("ord"), F.format_string("%s:%d", "event", "n").alias("line")))

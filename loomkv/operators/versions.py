@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomkv.functions import clocks
@@ -18,14 +18,24 @@ def last_of_writer(versions: DataFrame, *key: str) -> DataFrame:
     return versions.groupBy(*key, "coord").agg(last).select(*key, "coord", *[F.col(f"_v.{c}").alias(c) for c in cols])
 
 
-def reconcile(versions: DataFrame, *key: str) -> DataFrame:
-    """Versions that no other of their key dominates; of equal clocks the first to arrive stays."""
-    w, v = versions.select(*[F.col(c).alias(f"_{c}") for c in (*key, "clock", "seq")]), versions
-    same = F.lit(True)
-    for c in key:
-        same = same & (F.col(c) == F.col(f"_{c}"))
-    order = clocks.compare(F.col("_clock"), F.col("clock"))
-    return v.join(w, same & ((order == "After") | ((order == "Equal") & (F.col("_seq") < F.col("seq")))), "left_anti")
+#: Versions of a key that one piece holds; each is compared with the others of its piece.
+PIECE = 16
+
+
+def reconcile(versions: DataFrame, *key: str, levels: int = 3) -> DataFrame:
+    """Versions that no other of their key dominates; of equal clocks the first to arrive (by seq) stays. Nothing is assumed of the writers.
+
+    Level by level, the versions of each key are dealt into pieces of PIECE in the order of their clocks' sums, greatest
+    first, and each piece keeps its own survivors: of a history of one version after the other one in PIECE is left.
+    The last step compares what remains of a key, which is its set of siblings and one in PIECE ** levels of the rest.
+    All levels share one shuffle, by key.
+    """
+    total = F.aggregate(F.map_values(F.coalesce(F.col("clock"), F.create_map().cast(clocks.EMPTY))), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("_sum"), "seq"))
+    out = versions.withColumn("_sum", total)
+    for _ in range(levels):
+        out = reconcile_few(out.withColumn("_piece", F.floor((nth - 1) / PIECE).cast("int")), *key, "_piece").drop("_piece")
+    return reconcile_few(out, *key).drop("_sum")
 
 
 def reconcile_few(versions: DataFrame, *key: str) -> DataFrame:

@@ -29,20 +29,20 @@ def _versions() -> str:
     )
 
 
-def _dominates(a: str, b: str) -> str:
+def dominates(a: str, b: str) -> str:
     return f"({a}.c0 >= {b}.c0 AND {a}.c1 >= {b}.c1 AND {a}.c2 >= {b}.c2 AND ({a}.c0 > {b}.c0 OR {a}.c1 > {b}.c1 OR {a}.c2 > {b}.c2))"
 
 
 VERSIONS = f"{COMMANDS}, {_versions()}"
-SURVIVORS = f"{VERSIONS}, sib AS (SELECT * FROM ver v WHERE NOT EXISTS (SELECT 1 FROM ver x WHERE x.key = v.key AND ({_dominates('x', 'v')} OR (x.c0 = v.c0 AND x.c1 = v.c1 AND x.c2 = v.c2 AND x.seq < v.seq))))"
+SURVIVORS = f"{VERSIONS}, sib AS (SELECT * FROM ver v WHERE NOT EXISTS (SELECT 1 FROM ver x WHERE x.key = v.key AND ({dominates('x', 'v')} OR (x.c0 = v.c0 AND x.c1 = v.c1 AND x.c2 = v.c2 AND x.seq < v.seq))))"
 
 HELD = f"""{VERSIONS}, held AS (
   SELECT 'n0' AS replica, 0 AS place, * FROM ver WHERE coord = 'n0' OR {_vis('seq', 0)}
   UNION ALL SELECT 'n1', 1, * FROM ver WHERE coord = 'n1' OR {_vis('seq', 1)}
   UNION ALL SELECT 'n2', 2, * FROM ver WHERE coord = 'n2' OR {_vis('seq', 2)}),
-own_set AS (SELECT * FROM held v WHERE place < 2 AND NOT EXISTS (SELECT 1 FROM held x WHERE x.replica = v.replica AND x.key = v.key AND {_dominates('x', 'v')})),
+own_set AS (SELECT * FROM held v WHERE place < 2 AND NOT EXISTS (SELECT 1 FROM held x WHERE x.replica = v.replica AND x.key = v.key AND {dominates('x', 'v')})),
 answered AS (SELECT key, seq, any_value(coord) AS coord, any_value(value) AS value, any_value(deleted) AS deleted, any_value(c0) AS c0, any_value(c1) AS c1, any_value(c2) AS c2, min(place) AS place FROM own_set GROUP BY key, seq),
-merged AS (SELECT * FROM answered v WHERE NOT EXISTS (SELECT 1 FROM answered x WHERE x.key = v.key AND {_dominates('x', 'v')}))"""
+merged AS (SELECT * FROM answered v WHERE NOT EXISTS (SELECT 1 FROM answered x WHERE x.key = v.key AND {dominates('x', 'v')}))"""
 
 
 def fnv(key: str) -> str:

@@ -174,6 +174,15 @@ def ver_reconcile(spark, sf):
     return _siblings(spark, sf).select("key", "seq", "coord", "deleted")
 
 
+@query(
+    f"WITH {O.COMMANDS}, ver AS (SELECT seq, key, (seq * 7919) % 5 AS c0, (seq * 104729) % 7 AS c1, (seq // 3) % 4 AS c2 FROM command_log WHERE op <> 'GET') SELECT key, seq FROM ver v WHERE NOT EXISTS (SELECT 1 FROM ver x WHERE x.key = v.key AND ({O.dominates('x', 'v')} OR (x.c0 = v.c0 AND x.c1 = v.c1 AND x.c2 = v.c2 AND x.seq < v.seq)))"
+)
+def ver_reconcile_any(spark, sf):
+    """Of versions whose writers' clocks don't grow, many of them concurrent or equal."""
+    clock = F.create_map(F.lit("n0"), F.expr("(seq * 7919) % 5"), F.lit("n1"), F.expr("(seq * 104729) % 7"), F.lit("n2"), F.expr("(seq div 3) % 4"))
+    return V.reconcile(T.writes(spark, sf).select("key", "seq", clock.alias("clock")), "key").select("key", "seq")
+
+
 @query(f"WITH {O.SURVIVORS} SELECT key, seq, value FROM sib WHERE NOT deleted")
 def ver_live(spark, sf):
     return V.live(_siblings(spark, sf)).select("key", "seq", "value")
@@ -284,7 +293,7 @@ def quorum_write(spark, sf):
 _WAS = "(SELECT c.seq, (SELECT arg_max(x.op, struct_pack(t := x.ts, s := x.seq)) FROM command_log x WHERE x.key = c.key AND x.op <> 'GET' AND (x.ts, x.seq) < (c.ts, c.seq)) = 'SET' AS there FROM command_log c WHERE c.op = 'DEL')"
 
 
-@query(f"WITH {O.QUORUM} SELECT seq, CASE WHEN acks >= 2 THEN CASE WHEN there THEN '1' ELSE '0' END ELSE 'ERR delete quorum not met: ' || acks || ' of 3 replicas' END AS reply FROM acked JOIN {_WAS} USING (seq)")
+@query(f"WITH {O.QUORUM} SELECT seq, CASE WHEN acks >= 2 THEN CASE WHEN there THEN '1' ELSE '0' END ELSE 'ERR delete quorum not met: ' || acks || ' of 2 replicas' END AS reply FROM acked JOIN {_WAS} USING (seq)")
 def quorum_delete(spark, sf):
     w = Window.partitionBy("key").orderBy("ts", "seq")
     sent = _sent(spark, sf).withColumn("there", F.coalesce(F.lag("op").over(w) == "SET", F.lit(False))).where("op = 'DEL'")
@@ -378,10 +387,25 @@ def merkle_fetch(spark, sf):
     return merkle.fetch(T.stores(spark, sf)[1], _diff(spark, sf)).select("key", "blob")
 
 
-@query(f"WITH {O.STORES} SELECT key, arg_max(blob, r) AS blob FROM (SELECT key, blob, 1 AS r FROM store_a UNION ALL SELECT key, blob, CASE WHEN blob LIKE '%|x' THEN 2 ELSE 0 END FROM store_b) GROUP BY key")
+def _held_by(spark: SparkSession, sf: str, *nodes: str) -> dict[str, DataFrame]:
+    held = T.replica_versions(T.versions(T.writes(spark, sf)))
+    return {n: V.reconcile(held.where(F.col("replica") == n), "key").select("key", "seq", "clock", "deleted", "value") for n in nodes}
+
+
+@query(f"WITH {O.HELD} SELECT key, seq, deleted FROM merged")
 def anti_entropy_sync(spark, sf):
-    a, b = T.stores(spark, sf)
-    return antientropy.pull(a.withColumn("stamp", F.lit(1)), b.withColumn("stamp", F.when(F.col("blob").endswith("|x"), 2).otherwise(1))).select("key", "blob")
+    """n0 after a round with n1: concurrent versions are siblings."""
+    held = _held_by(spark, sf, "n0", "n1")
+    return antientropy.pull(held["n0"], held["n1"]).select("key", "seq", "deleted")
+
+
+@query(f"WITH {O.HELD}, every AS (SELECT DISTINCT key, seq, deleted, c0, c1, c2 FROM held) SELECT key, seq, deleted FROM every v WHERE NOT EXISTS (SELECT 1 FROM every x WHERE x.key = v.key AND {O.dominates('x', 'v')})")
+def anti_entropy_rounds(spark, sf):
+    """n1 visits n2, then n0 visits n1: what n2 held reaches n0 by way of n1."""
+    from loomkv.streaming.folders import written
+
+    held = _held_by(spark, sf, "n0", "n1", "n2")
+    return antientropy.rounds(held, [("n1", "n2"), ("n0", "n1")], written)["n0"].select("key", "seq", "deleted")
 
 
 # --- membership
@@ -418,11 +442,18 @@ def state_transitions(spark, sf):
     return membership.transitions(T.roster(spark, sf))
 
 
-@query()
+@query("""
+WITH m AS (SELECT s_nationkey, s_suppkey // 1250 AS part, s_name AS id, '10.0.0.1:' || s_suppkey AS addr, CAST(s_suppkey % 3 AS INTEGER) AS state, s_suppkey AS incarnation FROM supplier),
+v AS (SELECT o.id AS observer, m.id, m.addr, m.state, m.incarnation + CASE WHEN o.id = m.id THEN 1 ELSE 0 END AS incarnation FROM m o JOIN m USING (s_nationkey, part)),
+p AS (SELECT observer, id AS dest FROM v WHERE state = 0 AND id <> observer QUALIFY row_number() OVER (PARTITION BY observer ORDER BY md5('1/' || observer || '/' || id)) <= 3),
+e AS (SELECT * FROM v UNION ALL SELECT p.dest, v.id, v.addr, v.state, v.incarnation FROM v JOIN p USING (observer)),
+t AS (SELECT observer, id, max(struct_pack(i := incarnation, s := state, a := addr)) AS t FROM e GROUP BY ALL)
+SELECT observer, id, t.a AS addr, CASE WHEN observer = id THEN 0 ELSE t.s END AS state, t.i + CASE WHEN observer = id AND t.s <> 0 THEN 1 ELSE 0 END AS incarnation FROM t""")
 def gossip_round(spark, sf):
-    """Every member begins with its own region's members in view."""
-    members = T.table(spark, sf, "supplier").select("s_nationkey", F.col("s_name").alias("id"), F.concat(F.lit("10.0.0.1:"), "s_suppkey").alias("addr"), (F.col("s_suppkey") % 3).cast("int").alias("state"), F.col("s_suppkey").alias("incarnation"))
-    views = members.select("s_nationkey", F.col("id").alias("observer")).join(members, "s_nationkey").drop("s_nationkey")
+    """Clusters of a nation's suppliers, about fifty each; every member begins with its own cluster in view."""
+    s = T.table(spark, sf, "supplier")
+    members = s.select("s_nationkey", F.expr("s_suppkey div 1250").alias("part"), F.col("s_name").alias("id"), F.concat(F.lit("10.0.0.1:"), "s_suppkey").alias("addr"), (F.col("s_suppkey") % 3).cast("int").alias("state"), F.col("s_suppkey").alias("incarnation"))
+    views = members.select("s_nationkey", "part", F.col("id").alias("observer")).join(members, ["s_nationkey", "part"]).drop("s_nationkey", "part")
     return membership.gossip_round(spark, views, fanout=3, seed=1)
 
 
@@ -482,11 +513,22 @@ def stats_gauges(spark, sf):
 _REPORT = "SELECT '0 ' || command AS ord, command || ' total=' || count(*) || ' hits=' || count(*) FILTER (outcome = 'hit') || ' misses=' || count(*) FILTER (outcome = 'miss') || ' errors=' || count(*) FILTER (outcome = 'error') || ' p50=' || (SELECT ns FROM quant WHERE quant.command = served.command AND q = 0.5) || 'ns p99=' || (SELECT ns FROM quant WHERE quant.command = served.command AND q = 0.99) || 'ns' AS line FROM served GROUP BY command"
 
 
-@query(f"WITH {O.SERVED} {_REPORT} UNION ALL SELECT '1 store_keys', 'store_keys:' || count(*) FROM stored")
-def stats_report(spark, sf):
-    served = _served(spark, sf)
+def _report(spark: SparkSession, sf: str) -> DataFrame:
     gauges = _gauges(spark, sf).where("gauge = 'store_keys'")
-    return telemetry.report(telemetry.counters(served), telemetry.quantiles(_hist(spark, sf), [0.5, 0.99]), gauges)
+    return telemetry.report(telemetry.counters(_served(spark, sf)), telemetry.quantiles(_hist(spark, sf), [0.5, 0.99]), gauges, stats_events(spark, sf))
+
+
+_REPORT_ALL = f"{_REPORT} UNION ALL SELECT '1 store_keys', 'store_keys:' || count(*) FROM stored UNION ALL SELECT '2 ' || e, e || ':' || count(event_id) FROM (SELECT unnest(['click', 'error', 'evicted', 'signup']) AS e) LEFT JOIN events ON event_type = e GROUP BY e"
+
+
+@query(f"WITH {O.SERVED} {_REPORT_ALL}")
+def stats_report(spark, sf):
+    return _report(spark, sf)
+
+
+@query(f"WITH {O.SERVED}, r AS ({_REPORT_ALL}), t AS (SELECT 'uptime_seconds:42' || chr(13) || chr(10) || string_agg(line || chr(13) || chr(10), '' ORDER BY ord) AS x FROM r) SELECT '$' || octet_length(encode(x)) || chr(13) || chr(10) || x || chr(13) || chr(10) AS reply FROM t")
+def cmd_stats(spark, sf):
+    return dispatch.stats(_report(spark, sf), uptime=42)
 
 
 # --- eviction
@@ -517,7 +559,7 @@ def sketch_aged(spark, sf):
     return sketch.halve(sketch.build(T.command_log(spark, sf), 64))
 
 
-@query()
+@query(f"WITH {O.ROSTER} SELECT id, addr, 0 AS state, incarnation FROM member WHERE id NOT IN (SELECT id FROM self) ORDER BY md5('7/' || id) LIMIT 3")
 def pick_peers(spark, sf):
     members, me = _members(spark, sf)
     return membership.pick_peers(members.withColumn("state", F.lit(0)), me, 3, seed=7)
@@ -578,6 +620,84 @@ def cmd_reply(spark, sf):
     return answered.select("seq", resp.encode(F.col("reply")).alias("reply"))
 
 
+_NL = "chr(13) || chr(10)"
+_SERVER_ERRORS = f"CASE WHEN name = 'NOPE' THEN '-ERR unknown command ''NOPE''' || {_NL} WHEN len(args) = 0 THEN '-ERR wrong number of arguments for ''' || name || '''' || {_NL}"
+_ROUTED = O.RING.replace("SELECT c_name AS key FROM customer UNION ALL SELECT unnest(['', 'clé-é', '键'])", "SELECT DISTINCT key FROM command_log").strip()
+
+
+@query(f"WITH {_REQUEST}, {_ROUTED} SELECT seq, {_SERVER_ERRORS} WHEN owner <> 'n0' THEN '-MOVED ' || owner || {_NL} ELSE '' END AS reply FROM req LEFT JOIN {O.owned()} o USING (key)")
+def cmd_route(spark, sf):
+    """What n0 of five nodes refuses or sends elsewhere; empty where it serves the command."""
+    routed = dispatch.route(dispatch.analyse(_requests(spark, sf)), ring.points(spark, NODES), "n0")
+    return routed.select("seq", F.when(F.col("error").isNull(), "").otherwise(resp.encode(resp.error(F.col("error")))).alias("reply"))
+
+
+@query(
+    f"WITH {_REQUEST}, fine AS (SELECT seq, key, op FROM req WHERE name <> 'NOPE' AND len(args) > 0 AND op <> 'GET'), state AS (SELECT r.seq, r.key, arg_max(f.op, f.seq) AS op, max(f.seq) AS at FROM req r LEFT JOIN fine f ON f.key = r.key AND f.seq < r.seq GROUP BY r.seq, r.key), now AS (SELECT s.seq, CASE WHEN s.op = 'SET' THEN 'v' || s.at WHEN s.op IS NULL THEN t.v END AS v FROM state s LEFT JOIN (SELECT key, 's' || seq AS v FROM stored) t USING (key)) "
+    f"SELECT seq, {_SERVER_ERRORS} WHEN op = 'SET' THEN '+OK' || {_NL} WHEN op = 'DEL' THEN ':' || CASE WHEN v IS NULL THEN 0 ELSE 1 END || {_NL} WHEN v IS NULL THEN '$-1' || {_NL} ELSE {_BULK.format('v')} END AS reply FROM req JOIN now USING (seq)"
+)
+def cmd_sequence(spark, sf):
+    """Each command sees what those before it did; the entries of the snapshot stand before them all."""
+    live = _stored(spark, sf)[0].select("key", F.concat(F.lit("s"), "seq").alias("value"))
+    return dispatch.respond_in_order(dispatch.analyse(_requests(spark, sf)), live).select("seq", resp.encode(F.col("reply")).alias("reply"))
+
+
+_UP = "list_filter(['n0', 'n1', 'n2'], lambda x: ((seq // 7) + CAST(substr(x, 2) AS BIGINT)) % 4 <> 0)"
+
+
+@query(
+    f"WITH {O.HELD.replace('place < 2 AND', '')}, {_REQUEST.removeprefix(O.COMMANDS).lstrip(', ')}, mine AS (SELECT seq, key, op, list_filter({_UP}, lambda x: x <> 'n0') AS peers FROM req WHERE name <> 'NOPE' AND len(args) > 0), "
+    "asked AS (SELECT *, CASE WHEN len(peers) > 0 THEN ['n0', peers[1]] ELSE ['n0'] END AS asked FROM mine), "
+    "sets AS (SELECT DISTINCT key, asked FROM asked WHERE op = 'GET' AND len(asked) = 2), got AS (SELECT s.key, s.asked, o.seq, min(list_position(s.asked, o.replica)) AS place, any_value(o.value) AS value, any_value(o.deleted) AS deleted, any_value(c0) AS c0, any_value(c1) AS c1, any_value(c2) AS c2 FROM sets s JOIN own_set o ON o.key = s.key AND list_contains(s.asked, o.replica) GROUP BY s.key, s.asked, o.seq), "
+    f"best AS (SELECT key, asked, arg_min(seq, struct_pack(p := place, s := seq)) AS seq FROM got v WHERE NOT deleted AND NOT EXISTS (SELECT 1 FROM got x WHERE x.key = v.key AND x.asked = v.asked AND {O.dominates('x', 'v')}) GROUP BY key, asked), "
+    "there AS (SELECT DISTINCT key FROM own_set WHERE replica = 'n0' AND NOT deleted) "
+    "SELECT a.seq, CASE op WHEN 'SET' THEN CASE WHEN len(peers) >= 1 THEN 'OK' ELSE 'ERR write quorum not met: 1 of 2 replicas' END WHEN 'DEL' THEN CASE WHEN len(peers) < 1 THEN 'ERR delete quorum not met: 1 of 2 replicas' WHEN t.key IS NULL THEN '0' ELSE '1' END ELSE CASE WHEN len(a.asked) < 2 THEN 'ERR read quorum not met: 1 of 2 replicas' WHEN b.seq IS NULL THEN 'nil' ELSE 'w' || b.seq END END AS reply FROM asked a LEFT JOIN best b ON b.key = a.key AND b.asked = a.asked LEFT JOIN there t ON t.key = a.key"
+)
+def cmd_coordinate(spark, sf):
+    """n0 of three nodes, which all hold every key, coordinates with two of three for reads and writes; a value names its write."""
+    held = T.replica_versions(T.versions(T.writes(spark, sf))).withColumn("value", F.concat(F.lit("w"), "seq"))
+    up = F.array_compact(F.array(*[F.when((F.floor(F.col("seq") / 7) + i) % 4 != 0, F.lit(n)) for i, n in enumerate(T.NODES)]))
+    requests = dispatch.analyse(_requests(spark, sf)).withColumns({"up": up, "owners": F.array(*map(F.lit, T.NODES))})
+    done = dispatch.coordinate(requests, held.select("replica", "key", "seq", "coord", "value", "clock", "deleted"), "n0", r=2, w=2)
+    text = F.coalesce("reply.str", F.col("reply.int").cast("string"), F.lit("nil"))
+    return done.where("refused is null").select("seq", text.alias("reply"))
+
+
+@query(f"WITH {O.ROSTER}, l AS (SELECT id, id || ' ' || addr AS x FROM member WHERE state = 0) SELECT '*' || count(*) || {_NL} || string_agg({_BULK.format('x')}, '' ORDER BY id) AS reply FROM l")
+def cmd_nodes(spark, sf):
+    return dispatch.nodes_reply(_members(spark, sf)[0])
+
+
+_LEAF_WORDS = " || ".join(f"lpad(lower(to_hex({c})), 8, '0')" for c in ["bucket", *[f"l{i}" for i in range(8)]])
+
+
+@query(f"WITH {O.STORES}, l AS {O.leaves('store_a')} SELECT string_agg({_LEAF_WORDS}, '' ORDER BY bucket) AS str, NULL::VARCHAR AS error FROM l UNION ALL SELECT NULL, 'ERR failed to parse tree leaf count'")
+def cmd_rtree(spark, sf):
+    asked = spark.createDataFrame([(1, ["1024"]), (2, ["many"])], "seq bigint, args array<string>")
+    done = dispatch.rtree(asked, merkle.leaves(T.stores(spark, sf)[0]), 1024)
+    return done.select(resp.as_bulk(F.col("reply")).alias("str"), resp.as_error(F.col("reply")).alias("error"))
+
+
+@query(
+    f"WITH {O.STORES} SELECT CASE WHEN b IN (5, 9) THEN 1 ELSE 2 END AS seq, key, blob FROM (SELECT key, blob, CAST('0x' || substr(sha256(key), 14, 3) AS INTEGER) & 1023 AS b FROM store_b) WHERE b IN (5, 9, 700) UNION ALL SELECT * FROM (VALUES (3, 'ERR malformed bucket set', NULL), (4, 'ERR failed to parse tree leaf count', NULL))"
+)
+def cmd_rbucket(spark, sf):
+    asked = spark.createDataFrame([(1, ["1024", "5,9,5"]), (2, ["1024", "700"]), (3, ["1024", "1,x"]), (4, ["?", "1"])], "seq bigint, args array<string>")
+    refused, found = dispatch.rbucket(asked, T.stores(spark, sf)[1], 1024)
+    rows = found.union(refused.select("seq", resp.as_error(F.col("reply")).alias("key"), F.lit(None).cast("string").alias("blob")))
+    return rows.select(F.col("seq").cast("int").alias("seq"), "key", "blob")
+
+
+@query(
+    f"WITH {O.HELD}, u AS (SELECT key, seq, c0, c1, c2 FROM own_set WHERE replica = 'n0' UNION SELECT key, seq, c0, c1, c2 FROM ver WHERE coord = 'n2') SELECT key, seq FROM u v WHERE NOT EXISTS (SELECT 1 FROM u x WHERE x.key = v.key AND {O.dominates('x', 'v')})"
+)
+def cmd_rset(spark, sf):
+    """n0's sets after all that n2 wrote was sent to it, one version a request."""
+    vs = T.versions(T.writes(spark, sf))
+    held = V.reconcile(T.replica_versions(vs).where("replica = 'n0'"), "key").select("key", "seq", "clock", "deleted", "value")
+    return dispatch.rset(vs.where("coord = 'n2'"), held)[0].select("key", "seq")
+
+
 # --- streaming
 
 
