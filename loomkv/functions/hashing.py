@@ -31,10 +31,15 @@ def fnv1a64(key: Column) -> Column:
 
 
 def merkle_bucket(key: Column, leaves: int) -> Column:
-    """The low bits of the first eight bytes of sha256(key); leaves is a power of two up to 4096."""
-    if leaves & (leaves - 1) or not 1 <= leaves <= 4096:
-        raise ValueError("leaves must be a power of two up to 4096")
-    return F.conv(F.substring(F.sha2(key, 256), 14, 3), 16, 10).cast("int").bitwiseAND(F.lit(leaves - 1))
+    """The low bits of the first eight bytes of sha256(key); leaves is a power of two up to 2^31."""
+    if leaves & (leaves - 1) or not 1 <= leaves <= 1 << 31:
+        raise ValueError("leaves must be a power of two up to 2^31")
+    return F.conv(F.substring(F.sha2(key, 256), 9, 8), 16, 10).cast("bigint").bitwiseAND(F.lit(leaves - 1).cast("bigint")).cast("int")
+
+
+def md5_halves(key: Column) -> tuple[Column, Column]:
+    """Two unsigned 32-bit numbers from the key's md5, for places whose hash has no meaning elsewhere: compiled, unlike a fold over bytes."""
+    return tuple(F.conv(F.substring(F.md5(key), 1 + 8 * i, 8), 16, 10).cast("bigint") for i in range(2))
 
 
 def limbs(hex_digest: Column) -> list[Column]:
@@ -44,7 +49,7 @@ def limbs(hex_digest: Column) -> list[Column]:
 
 def shard_of(key: Column, shards: int) -> Column:
     """Placement by hash; which shard it is has no meaning outside one run of a plan."""
-    return F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
+    return F.pmod(md5_halves(key)[0], F.lit(shards)).cast("int")
 
 
 def next_power_of_two(n: int) -> int:

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomkv.functions.hashing import LOW32, fnv1a64, next_power_of_two
+from loomkv.functions.hashing import md5_halves, next_power_of_two
 
 DEPTH, MOST = 4, 15
 
 
 def cells(key: Column, capacity: int) -> Column:
     """Column of each row: h1 + row * h2, by the halves of the key's hash."""
-    h = fnv1a64(key)
-    h1, h2 = F.shiftrightunsigned(h, 32), h.bitwiseAND(F.lit(LOW32))
+    h1, h2 = md5_halves(key)
     mask = next_power_of_two(max(1, capacity)) - 1
     return F.array(*[(h1 + r * h2).bitwiseAND(F.lit(mask)) for r in range(DEPTH)])
 
@@ -26,9 +27,9 @@ def build(touches: DataFrame, capacity: int) -> DataFrame:
 
 
 def estimate(keys: DataFrame, sketch: DataFrame, capacity: int) -> DataFrame:
-    """key, estimate; the sketch has at most 4 * 2 * capacity rows."""
+    """key, estimate; the sketch has at most 4 * 2 * capacity rows, which are broadcast up to half a million."""
     each = keys.select("key", F.posexplode(cells(F.col("key"), capacity)).alias("row", "col"))
-    found = each.join(F.broadcast(sketch) if capacity <= 1 << 20 else sketch, ["row", "col"], "left")
+    found = each.join(F.broadcast(sketch) if capacity <= 1 << 16 else sketch, ["row", "col"], "left")
     return found.groupBy("key").agg(F.min(F.coalesce("n", F.lit(0))).cast("bigint").alias("estimate"))
 
 
@@ -45,10 +46,8 @@ class Sketch:
         self.cells = [[0] * self.width for _ in range(DEPTH)]
 
     def _at(self, key: str) -> list[int]:
-        h = 0xCBF29CE484222325
-        for b in key.encode():
-            h = (h ^ b) * 0x100000001B3 % (1 << 64)
-        return [((h >> 32) + r * (h & LOW32)) & (self.width - 1) for r in range(DEPTH)]
+        h = int.from_bytes(hashlib.md5(key.encode()).digest()[:8])
+        return [((h >> 32) + r * (h & 0xFFFFFFFF)) & (self.width - 1) for r in range(DEPTH)]
 
     def add(self, key: str) -> None:
         for row, c in zip(self.cells, self._at(key)):

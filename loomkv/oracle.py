@@ -114,3 +114,32 @@ acked AS (SELECT *, CAST(1 + len(list_intersect(peers, up)) AS INTEGER) AS acks
 missed AS (SELECT unnest(list_filter(peers, lambda x: NOT list_contains(up, x))) AS target, key, seq FROM sent),
 waiting AS (SELECT target, key, max(seq) AS seq FROM missed GROUP BY target, key)
 """.format(c=COMMANDS)
+
+
+def cell(key: str, width: int) -> str:
+    """The sketch's column in row r."""
+    return f"CAST((CAST('0x' || substr(md5({key}), 1, 8) AS BIGINT) + r * CAST('0x' || substr(md5({key}), 9, 8) AS BIGINT)) % {width} AS BIGINT)"
+
+
+def replay(policy: str, capacity: int, shards: int) -> str:
+    """Each shard's commands one after the other, with its entries as a list of (key, score, born): LRU scores by the last access, LFU by counting."""
+    set_score, get_score = ("n", "n") if policy == "lru" else ("5", "e.s + 1")
+    return f"""
+WITH RECURSIVE {COMMANDS},
+c AS MATERIALIZED (SELECT CAST(CAST('0x' || substr(md5(key), 1, 8) AS BIGINT) % {shards} AS INTEGER) AS shard, seq, key, op, row_number() OVER (PARTITION BY CAST('0x' || substr(md5(key), 1, 8) AS BIGINT) % {shards} ORDER BY seq) AS n FROM command_log),
+run AS (
+  SELECT shard, 0::BIGINT AS n, 0::BIGINT AS seq, '' AS key, '' AS op, '' AS outcome, NULL::VARCHAR AS evicted, []::STRUCT(k VARCHAR, s BIGINT, b BIGINT)[] AS es FROM (SELECT DISTINCT shard FROM c)
+  UNION ALL
+  SELECT shard, n, seq, key, op,
+    CASE op WHEN 'GET' THEN CASE WHEN there THEN 'hit' ELSE 'miss' END WHEN 'DEL' THEN CASE WHEN there THEN 'deleted' ELSE 'absent' END ELSE 'set' END,
+    gone.k, CASE WHEN gone IS NULL THEN es ELSE list_filter(es, lambda e: e.k <> gone.k) END
+  FROM (
+    SELECT *, CASE WHEN op = 'SET' AND len(es) > {capacity} THEN list_reduce(list_filter(es, lambda e: e.k <> key), lambda a, x: CASE WHEN (x.s, x.b) < (a.s, a.b) THEN x ELSE a END) END AS gone
+    FROM (
+      SELECT r.shard, c.n, c.seq, c.key, c.op, list_contains(list_transform(r.es, lambda e: e.k), c.key) AS there,
+        CASE WHEN c.op = 'DEL' THEN list_filter(r.es, lambda e: e.k <> c.key)
+             WHEN c.op = 'GET' THEN list_transform(r.es, lambda e: CASE WHEN e.k = c.key THEN struct_pack(k := e.k, s := CAST({get_score.replace('n', 'c.n')} AS BIGINT), b := e.b) ELSE e END)
+             WHEN list_contains(list_transform(r.es, lambda e: e.k), c.key) THEN list_transform(r.es, lambda e: CASE WHEN e.k = c.key THEN struct_pack(k := e.k, s := CAST({set_score.replace('n', 'c.n')} AS BIGINT), b := e.b) ELSE e END)
+             ELSE list_append(r.es, struct_pack(k := c.key, s := CAST({set_score.replace('n', 'c.n')} AS BIGINT), b := c.n)) END AS es
+      FROM run r JOIN c ON c.shard = r.shard AND c.n = r.n + 1)))
+SELECT seq, key, op, outcome, evicted FROM run WHERE n > 0"""

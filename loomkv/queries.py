@@ -546,7 +546,7 @@ def lfu_score(spark, sf):
 
 
 @query(
-    f"WITH {O.COMMANDS}, per AS (SELECT key || '/' || ttl_s AS key, count(*) AS k FROM command_log GROUP BY ALL), hk AS (SELECT key, {O.fnv('key')} AS h FROM per), cell AS (SELECT key, r, CAST((h // 4294967296 + r * (h % 4294967296)) % 1024 AS BIGINT) AS c FROM hk, range(4) t(r)), sk AS (SELECT r, c, least(15, sum(k)) AS n FROM per JOIN cell USING (key) GROUP BY r, c) SELECT key, CAST(min(coalesce(n, 0)) AS BIGINT) AS estimate FROM cell LEFT JOIN sk USING (r, c) GROUP BY key"
+    f"WITH {O.COMMANDS}, per AS (SELECT key || '/' || ttl_s AS key, count(*) AS k FROM command_log GROUP BY ALL), cell AS (SELECT key, r, {O.cell('key', 1024)} AS c FROM per, range(4) t(r)), sk AS (SELECT r, c, least(15, sum(k)) AS n FROM per JOIN cell USING (key) GROUP BY r, c) SELECT key, CAST(min(coalesce(n, 0)) AS BIGINT) AS estimate FROM cell LEFT JOIN sk USING (r, c) GROUP BY key"
 )
 def sketch_estimate(spark, sf):
     """Of keys with their TTL, so that counters aren't all at their limit."""
@@ -554,7 +554,7 @@ def sketch_estimate(spark, sf):
     return sketch.estimate(log.select("key").distinct(), sketch.build(log, 1024), 1024)
 
 
-@query(f"WITH {O.COMMANDS}, per AS (SELECT key, count(*) AS k FROM command_log GROUP BY key), hk AS (SELECT key, k, {O.fnv('key')} AS h FROM per) SELECT CAST(r AS INTEGER) AS row, CAST((h // 4294967296 + r * (h % 4294967296)) % 64 AS BIGINT) AS col, CAST(least(15, sum(k)) // 2 AS BIGINT) AS n FROM hk, range(4) t(r) GROUP BY ALL")
+@query(f"WITH {O.COMMANDS}, per AS (SELECT key, count(*) AS k FROM command_log GROUP BY key) SELECT CAST(r AS INTEGER) AS row, {O.cell('key', 64)} AS col, CAST(least(15, sum(k)) // 2 AS BIGINT) AS n FROM per, range(4) t(r) GROUP BY ALL")
 def sketch_aged(spark, sf):
     return sketch.halve(sketch.build(T.command_log(spark, sf), 64))
 
@@ -565,15 +565,22 @@ def pick_peers(spark, sf):
     return membership.pick_peers(members.withColumn("state", F.lit(0)), me, 3, seed=7)
 
 
+#: Commands that one shard of a replay should have to read, in order.
+SHARD_COMMANDS = 1_000_000
+
+
 def _replayed(policy: str) -> Query:
     def run(spark, sf):
-        return eviction.replay(T.command_log(spark, sf), policy, capacity=20, shards=4)
+        log = T.command_log(spark, sf)
+        return eviction.replay(log, policy, capacity=20, shards=max(4, log.count() // SHARD_COMMANDS))
 
     return run
 
 
 for _policy in eviction.POLICIES:
     _QUERIES[f"{_policy}_replay"] = _replayed(_policy)
+    if _policy != "tinylfu":  # whose victims are drawn at random
+        _ORACLE[f"{_policy}_replay"] = O.replay(_policy, 20, 4)
 
 
 # --- protocol
