@@ -58,3 +58,34 @@ def test_stateful_store(spark, tmp_path):
         elif r.op == "DEL":
             state.pop(r.key, None)
     assert got == want
+
+
+def test_fold_rewrites_what_a_batch_touches(spark, tmp_path):
+    from loomkv.streaming.reconcile import LastWrites
+
+    df = as_commands(events(spark))
+    sink = LastWrites(str(tmp_path / "out"), buckets=8)
+    parts = [df.where(F.col("seq") % 4 == k) for k in range(4)]
+    for n, part in enumerate(parts):
+        sink(part, n)
+        sink(part, n)  # run again
+    cols = ["key", "op", "value", "seq"]
+    assert sorted(map(tuple, sink.table(spark).select(*cols).collect())) == sorted(map(tuple, latest(df).select(*cols).collect()))
+    one = df.where(F.col("key") == "user:3").limit(1)
+    sink(one.withColumn("seq", F.lit(10_000).cast("bigint")).withColumn("ts", F.lit(START + dt.timedelta(days=9))).withColumn("op", F.lit("SET")), 4)
+    assert len(list((tmp_path / "out" / "v=4").glob("bucket=*"))) == 1
+    assert all(len(v) <= 2 for v in sink._versions(spark).values())
+    assert sink.table(spark).where("key = 'user:3'").first().seq == 10_000
+
+
+def test_expired_entries_leave_the_state(spark, tmp_path):
+    """Answers are the same with a watermark; the state then holds no entry that expired before it."""
+    rows = [(i, START + dt.timedelta(minutes=i), f"k{i}", "SET", float(i), 60) for i in range(40)] + [(100 + i, START + dt.timedelta(hours=9, minutes=i), "last", "SET", 1.0, 60) for i in range(2)]
+    df = spark.createDataFrame(rows, "seq bigint, ts timestamp, key string, op string, value double, ttl_s bigint")
+    for k in range(3):
+        df.where(F.col("seq") < 40 if k == 0 else F.col("seq") == 99 + k).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{k}"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "p*"))
+    q = replies(stream, late="1 minute").writeStream.format("memory").queryName("expiring").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.awaitTermination()
+    assert spark.sql("select count(*) from expiring").first()[0] == 42
+    assert q.recentProgress[-1].stateOperators[0].numRowsTotal < 10
