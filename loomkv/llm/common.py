@@ -23,7 +23,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 #: Bytes of text in an Arrow batch for Python, where the session has Spark's own limit, 64 MB.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _held: dict[str, object] = {}
@@ -36,12 +36,12 @@ def ship(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
-def keep_heap() -> None:
+def keep_heap(free: int = 64 << 20) -> None:
     """Arrays of a few megabytes come from the heap and stay there, not from fresh pages each time; give_back returns them."""
     try:
         libc = ctypes.CDLL(None)
         libc.mallopt(-3, 32 << 20)  # the size from which memory is mapped, at its highest
-        libc.mallopt(-1, 256 << 20)  # free memory at the heap's end that stays
+        libc.mallopt(-1, free)  # free memory at the heap's end that stays
     except (AttributeError, OSError):  # only glibc has it
         pass
 

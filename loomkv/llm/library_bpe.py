@@ -21,13 +21,13 @@ from .merges import RankMerger, kind_of
 
 _U = np.uint64
 #: Bytes of text that are encoded at once, but for longer texts without a place to cut.
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 #: Longer pre-tokens are left to the library: rounds are as many as a pre-token's merges.
 LONG = 64
 #: Characters below it are of the first Unicode blocks: their classes and cases never change, and NFC leaves them alone.
 FIRST = "İ"
 #: The table's size, and how many bytes of units are kept before it starts anew.
-TABLE, KEPT = 21, 1 << 24
+TABLE, KEPT = 20, 1 << 23
 _POWER, _GOLD = _U(0xD6E8FEB86659FD93), _U(0x9E3779B97F4A7C15)
 
 _LETTER = np.zeros(256, bool)  # bytes of which letters consist, in valid UTF-8, if no other byte above 127 is there
@@ -98,7 +98,7 @@ class LibraryEncoder:
     def _clear(self) -> None:
         self.table[:] = -1
         self.bytes, self.ids = _Pool(np.uint8), _Pool(np.uint32)
-        self.hash, self.at, self.size, self.id_at, self.id_n = _Pool(_U), _Pool(np.int64), _Pool(np.int64), _Pool(np.int64), _Pool(np.int64)
+        self.hash, self.at, self.size, self.id_at, self.id_n = _Pool(_U), *[_Pool(np.int32) for _ in range(4)]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]

@@ -28,7 +28,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeBins, bounded, materialize, pick, shared_path, ship, sums_before, text_tie
+from .common import RangeBins, bounded, keep_heap, materialize, pick, shared_path, ship, sums_before, text_tie
 from .grammar import compress
 from .library_bpe import encoder, small_batches
 
@@ -192,6 +192,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(file.value), end_id.to_bytes(4, "little")
+        keep_heap(256 << 20)  # a shard's arrays are larger than a block's
         base = max(enc.tokenizer.get_vocab().values()) + 1
         store, root = pafs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
