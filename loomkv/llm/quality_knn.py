@@ -8,8 +8,8 @@ nearest ones vote by a power of their similarity.
 The sample is bounded: at most `sample` labelled documents of each class, those with the smallest hash of doc_id. All
 statistics of the model come from the sample; labels, lang, source and doc_id are never inputs of a score.
 
-Defined results: a null or empty text has no terms and scores the share of label 1 among the sample's classes, 0.5;
-rows with equal texts score the same; without labelled rows every score is 0.5; an empty table gives no rows. Extra
+Defined results: a null or empty text has no terms and scores 0.5, whatever the sample; rows with equal texts score the
+same, with any doc_id or none; without labelled rows every score is 0.5; an empty table gives no rows. Extra
 columns are ignored.
 """
 

@@ -322,3 +322,27 @@ def test_op9(docs, empty, texts):
     assert red[0].text is None and len(red) == len(texts)
     hidden = next(r for r in red.values() if r.text and "<secret>" in r.text)
     assert "hunter2" not in hidden.text and "AKIA" not in hidden.text and hidden.n_chars == len(hidden.text) and hidden.key == "x"
+
+
+ODD_IDS = [None, None, 5, 5, 5, 1152921504606846977, None]
+ODD_TEXTS = ["the quick brown fox jumps over the lazy dog again and again", None, "the quick brown fox jumps over the lazy dog again and again", "", "token=abcdef123456", "x y", "the quick brown fox jumps over the lazy dog again and again"]
+
+
+@pytest.mark.parametrize("op", ["op1", "op3", "op4", "op5", "op6", "op9", "op10"])
+def test_null_and_repeated_ids(make_docs, op):
+    """Every row gives one row, with its doc_id as it stands."""
+    import public_tokenizers as P
+
+    from loomkv.llm import prefix_bpe, rank_merge, repair
+
+    run = {
+        "op1": lambda d: prefix_bpe.encode_decode(d, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN),
+        "op3": lambda d: repair.write_and_read(d, P.path("byte_bpe_50k.json")),
+        "op4": fingerprints.edited_fingerprints,
+        "op5": shards.byte_shards,
+        "op6": lambda d: near_dup.near_duplicates(d, 4, 80),
+        "op9": secrets.scan,
+        "op10": lambda d: rank_merge.count_tokens(d, P.path("word_bpe_49k.json")),
+    }[op]
+    got = run(make_docs(ODD_TEXTS, ODD_IDS)).collect()
+    assert sorted(map(str, (r.doc_id for r in got))) == sorted(map(str, ODD_IDS))

@@ -240,3 +240,46 @@ def test_pipeline_verdicts_are_the_rows_own(spark, make_docs):
     out = pipeline.near_dedup(spark, df, "")
     assert sorted(((x.doc_id, x.text) for x in out.collect()), key=str) == sorted([(1, good[0]), (2, good[1]), (None, good[2])], key=str)
     assert out.columns == df.columns
+
+
+def test_op7_null_and_repeated_ids(labelled, make_docs):
+    docs, labels = labelled
+    ids = [None, None, 3, 3, 1152921504606846977]
+    got = quality_knn.classify(make_docs(["a b c", None, "a b c", "", "$$$ ###"], ids), quality_knn.fit(docs, labels)).collect()
+    assert sorted(map(str, (r.doc_id for r in got))) == sorted(map(str, ids)) and all(0 <= r.score <= 1 for r in got)
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path, labelled):
+    """Repeated and null doc_ids, a very long text, columns that clash with names inside; ordinary URLs stay."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs, labels = labelled
+    r = random.Random(12)
+    word = lambda: "".join(r.choices(["th", "an", "er", "ou", "ing"], k=r.randint(1, 4)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    url = "https://en.wikipedia.org/wiki/Battle_of_Stalingrad_1942"
+    extra = [(None, prose(80)), (None, prose(80)), (None, None), (7, prose(90)), (500, prose(60) + " " + url + " " + prose(60)), (501, prose(250_000)), (502, "x " * 300_000), (503, "")]
+    same = dict.fromkeys(set(docs.columns) - {"doc_id", "text"})
+    rows = spark.createDataFrame([(i, t, *same.values()) for i, t in extra], "doc_id bigint, text string, " + ", ".join(f"`{c}` {dict(docs.dtypes)[c]}" for c in same))
+    now = docs.unionByName(rows)
+    names = now.columns
+    seen = {}
+    for name, stage in pipeline.STAGES:
+        now = stage(spark, now, str(labels_in(labels, tmp_path)))
+        folder = str(tmp_path / name.replace(" ", "_"))
+        now.write.parquet(folder)
+        now = spark.read.parquet(folder)
+        seen[name] = now
+        if name != "packing":
+            assert now.columns == names
+    kept = {x.doc_id: x.text for x in seen["secret scans"].collect()}
+    assert 503 not in kept and 502 not in kept and (500 not in kept or url in kept[500])
+    packed = seen["packing"].collect()
+    assert {x.doc_id for x in packed} == set(kept)
+    ids = [x.doc_id for x in seen["secret scans"].collect() if x.doc_id is not None]
+    assert len(ids) == len(set(ids))  # one row of each doc_id
+
+
+def labels_in(labels, folder):
+    if not (folder / "labels.parquet").exists():
+        labels.write.parquet(str(folder / "labels.parquet"))
+    return folder
