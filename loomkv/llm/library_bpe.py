@@ -20,7 +20,7 @@ from .common import hold
 from .merges import RankMerger, kind_of
 
 _U = np.uint64
-#: Bytes of text that are encoded at once, but for longer texts without a place to cut.
+#: Bytes of text that are encoded at once, but for longer texts without a place to cut. Larger blocks take less time, and memory.
 BLOCK = 1 << 18
 #: Longer pre-tokens are left to the library: rounds are as many as a pre-token's merges.
 LONG = 64
@@ -77,7 +77,7 @@ class LibraryEncoder:
     units). Texts with the string of an added token or a NUL, or with a unit that is irregular, go to the library.
     """
 
-    def __init__(self, file: bytes, kept: int = KEPT):
+    def __init__(self, file: bytes, kept: int = KEPT, block: int = BLOCK, bits: int = TABLE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -92,7 +92,8 @@ class LibraryEncoder:
                 self.merger = RankMerger(spec["model"]["vocab"], spec["model"]["merges"], spec["model"].get("end_of_word_suffix") or "")
             except ValueError:  # merges that can't be made in step: the library does it all
                 pass
-        self.most, self.table = kept, np.full(1 << TABLE, -1, np.int32)
+        self.most, self.block, self.slots = kept, block, 1 << bits
+        self.table = np.full(self.slots, -1, np.int32)
         self._clear()
 
     def _clear(self) -> None:
@@ -123,9 +124,9 @@ class LibraryEncoder:
             if "\0" in text or (not self.drops_space and any(s in text for s in self.added)):
                 found[i] = None
                 continue
-            for part in parts(text, BLOCK) if self.drops_space else units.long_parts(text, BLOCK):
+            for part in parts(text, self.block) if self.drops_space else units.long_parts(text, self.block):
                 raw = part.encode()
-                if block and n + len(raw) > BLOCK:
+                if block and n + len(raw) > self.block:
                     flush()
                     n = 0
                 owner.append(i)
@@ -160,7 +161,7 @@ class LibraryEncoder:
         bounds = np.searchsorted(starts, np.cumsum([len(r) + 1 for r in raws]))
         if not len(starts):
             return [b""] * len(raws)
-        if self.bytes.n > self.most or self.hash.n > 1 << TABLE:
+        if self.bytes.n > self.most or self.hash.n > self.slots:
             self._clear()
         first = np.cumsum(sizes) - sizes
         entry = self._entries(b, first, sizes)
@@ -201,7 +202,7 @@ class LibraryEncoder:
         h = np.add.reduceat(term, first) + sizes.astype(_U) * _GOLD
         h = (h ^ (h >> _U(32))) * _GOLD
         h ^= h >> _U(29)
-        slot = h & _U((1 << TABLE) - 1)
+        slot = h & _U(self.slots - 1)
         entry = self.table[slot].astype(np.int64)
         fresh = np.flatnonzero((entry < 0) | (self.hash.data[entry] != h))
         if len(fresh):
@@ -219,7 +220,7 @@ class LibraryEncoder:
             many = np.maximum(counts, 0)
             self.id_at.add(start + np.cumsum(many) - many)
             self.id_n.add(counts)
-            self.table[values & _U((1 << TABLE) - 1)] = np.arange(n, n + len(values))
+            self.table[values & _U(self.slots - 1)] = np.arange(n, n + len(values))
         return entry
 
     def _fresh(self, raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -290,9 +291,9 @@ class LibraryEncoder:
         return out
 
 
-def encoder(file: bytes) -> LibraryEncoder:
-    """One for each file, as long as the worker's tasks use it."""
-    return hold("library " + hashlib.sha256(file).hexdigest(), lambda: LibraryEncoder(file))
+def encoder(file: bytes, *sizes: int) -> LibraryEncoder:
+    """One for each file, as long as the worker's tasks use it. sizes: kept, block and bits, where they aren't the usual ones."""
+    return hold(f"library {hashlib.sha256(file).hexdigest()} {sizes}", lambda: LibraryEncoder(file, *sizes))
 
 
 def small_batches(texts: Iterable[str], chars: int = 1 << 21) -> Iterator[list[str]]:

@@ -191,7 +191,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     rows = rows.sortWithinPartitions("bin", F.asc_nulls_first("doc_id"), "h").drop("h")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(file.value), end_id.to_bytes(4, "little")
+        enc, end = encoder(file.value, 1 << 24, 1 << 19, 21), end_id.to_bytes(4, "little")
         keep_heap(256 << 20)  # a shard's arrays are larger than a block's
         base = max(enc.tokenizer.get_vocab().values()) + 1
         store, root = pafs.FileSystem.from_uri(folder)
