@@ -243,3 +243,47 @@ def test_parse_refuses(spark):
     bad = ["", "!x\r\n", "*1\r\n$3\r\nGE\r\n", "*2\r\n$3\r\nGET\r\n", "*1\r\n:1\r\n", "*-1\r\n", "+OK\r\n"]
     df = spark.createDataFrame([(w,) for w in bad], "w string")
     assert not any(r[0] for r in df.select(resp.parse_command(F.col("w"))["ok"]).collect())
+
+
+def test_routes_before_a_nodes_own_errors(spark):
+    """Arity first, then MOVED, then what SET finds wrong; keyless commands and empty rings are served here."""
+    cmds = spark.createDataFrame([(1, "set", ["a", "1", "px", "0"]), (2, "ping", []), (3, "get", []), (4, "nope", ["a"]), (5, "rget", ["a"])], "seq bigint, name string, args array<string>")
+    analysed = dispatch.analyse(cmds)
+    owner = ring.owner(spark.createDataFrame([("a",)], "key string"), ring.points(spark, ["x", "y"])).first().owner
+    other = {"x": "y", "y": "x"}[owner]
+    there = {r.seq: r.error for r in dispatch.route(analysed, ring.points(spark, ["x", "y"]), other).collect()}
+    assert there[1] == f"MOVED {owner}" and there[2] is None and there[3].startswith("ERR wrong") and there[4].startswith("ERR unknown") and there[5] is None
+    for points, me in ((ring.points(spark, ["x", "y"]), owner), (ring.points(spark, []), "x")):
+        assert {r.seq: r.error for r in dispatch.route(analysed, points, me).collect()}[1] == "ERR invalid ttl"
+
+
+def test_commands_see_each_other(spark):
+    cmds = [(1, "get", ["a"]), (2, "set", ["a", "1"]), (3, "GET", ["a"]), (4, "set", ["a", "2", "px", "0"]), (5, "get", ["a"]), (6, "del", ["a"]), (7, "del", ["a"]), (8, "get", ["a"]), (9, "ping", []), (10, "get", ["b"])]
+    df = dispatch.analyse(spark.createDataFrame(cmds, "seq bigint, name string, args array<string>"))
+    live = spark.createDataFrame([("a", "0"), ("b", "9")], "key string, value string")
+    got = {r.seq: r.w for r in dispatch.respond_in_order(df, live).withColumn("w", resp.encode(F.col("reply"))).collect()}
+    assert got[1] == "$1\r\n0\r\n" and got[3] == got[5] == "$1\r\n1\r\n" and got[4].startswith("-ERR") and got[6] == ":1\r\n" and got[7] == ":0\r\n"
+    assert got[8] == "$-1\r\n" and got[9] == "+PONG\r\n" and got[10] == "$1\r\n9\r\n"
+
+
+def test_reconcile_of_many(spark):
+    """A long history, and many concurrent versions, more than a piece holds."""
+    rows = [("chain", i, {"n0": i + 1}) for i in range(300)] + [("apart", i, {f"w{i}": 1}) for i in range(70)] + [("equal", i, {"n0": 1}) for i in range(40)] + [("none", 0, None), ("none", 1, {})]
+    got = rows_of(V.reconcile(spark.createDataFrame(rows, "key string, seq bigint, clock map<string,bigint>"), "key"))
+    assert got["chain"] == [299] and got["apart"] == list(range(70)) and got["equal"] == [0] and got["none"] == [0]
+
+
+def rows_of(df):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r.key, []).append(r.seq)
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def test_larger_trees(spark):
+    df = spark.range(500).select(F.concat(F.lit("k"), "id").alias("key"), F.lit("b").alias("blob"))
+    small = {r.key: r.b for r in df.select("key", hashing.merkle_bucket(F.col("key"), 4096).alias("b")).collect()}
+    large = {r.key: r.b for r in df.select("key", hashing.merkle_bucket(F.col("key"), 1 << 20).alias("b")).collect()}
+    assert all(large[k] % 4096 == small[k] for k in small) and max(large.values()) > 4096
+    a, b = merkle.leaves(df, 1 << 16), merkle.leaves(df.where("key <> 'k7'"), 1 << 16)
+    assert merkle.diff(a, b, 1 << 16, 1 << 16).count() == 1
