@@ -18,6 +18,12 @@ def last_of_writer(versions: DataFrame, *key: str) -> DataFrame:
     return versions.groupBy(*key, "coord").agg(last).select(*key, "coord", *[F.col(f"_v.{c}").alias(c) for c in cols])
 
 
+def supersedes(w: Column, v: Column) -> Column:
+    """Of two versions (clock, seq): w's clock is above v's, or equal to it and w came first."""
+    above, below = F.coalesce(clocks.exceeds(w["clock"], v["clock"]), F.lit(False)), F.coalesce(clocks.exceeds(v["clock"], w["clock"]), F.lit(False))
+    return ~below & (above | (w["seq"] < v["seq"]))
+
+
 #: Versions of a key that one piece holds; each is compared with the others of its piece.
 PIECE = 16
 
@@ -25,14 +31,19 @@ PIECE = 16
 def reconcile(versions: DataFrame, *key: str, levels: int = 3) -> DataFrame:
     """Versions that no other of their key dominates; of equal clocks the first to arrive (by seq) stays. Nothing is assumed of the writers.
 
-    Level by level, the versions of each key are dealt into pieces of PIECE in the order of their clocks' sums, greatest
-    first, and each piece keeps its own survivors: of a history of one version after the other one in PIECE is left.
+    A key's version with the greatest sum of counters is a survivor; what it supersedes goes first, in a running frame
+    that holds one version at a time. Of a history of one version after the other it is all that is left.
+    Level by level, the other versions of each key are dealt into pieces of PIECE in the order of their clocks' sums,
+    greatest first, and each piece keeps its own survivors: of several such histories one in PIECE is left.
     The last step compares what remains of a key, which is its set of siblings and one in PIECE ** levels of the rest.
     All levels share one shuffle, by key.
     """
     total = F.aggregate(F.map_values(F.coalesce(F.col("clock"), F.create_map().cast(clocks.EMPTY))), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("_sum"), "seq"))
-    out = versions.withColumn("_sum", total)
+    by_sum = Window.partitionBy(*key).orderBy(F.desc("_sum"), "seq")
+    top = F.first(F.struct("clock", "seq")).over(by_sum.rowsBetween(Window.unboundedPreceding, 0))
+    nth = F.row_number().over(by_sum)
+    out = versions.withColumn("_sum", total).withColumn("_top", top)
+    out = out.where(~supersedes(F.col("_top"), F.struct("clock", "seq"))).drop("_top")
     for _ in range(levels):
         out = reconcile_few(out.withColumn("_piece", F.floor((nth - 1) / PIECE).cast("int")), *key, "_piece").drop("_piece")
     return reconcile_few(out, *key).drop("_sum")
@@ -43,14 +54,8 @@ def reconcile_few(versions: DataFrame, *key: str) -> DataFrame:
     cols = [c for c in versions.columns if c not in key]
     sets = versions.groupBy(*key).agg(F.collect_list(F.struct(*cols)).alias("vs"))
 
-    def covered(v: Column) -> Column:
-        def by(w: Column) -> Column:
-            order = clocks.compare(w["clock"], v["clock"])
-            return (order == "After") | ((order == "Equal") & (w["seq"] < v["seq"]))
-
-        return F.exists("vs", by)
-
-    return sets.select(*key, F.explode(F.filter("vs", lambda v: ~covered(v))).alias("v")).select(*key, *[F.col(f"v.{c}").alias(c) for c in cols])
+    survivors = F.filter("vs", lambda v: ~F.exists("vs", lambda w: supersedes(w, v)))
+    return sets.select(*key, F.explode(survivors).alias("v")).select(*key, *[F.col(f"v.{c}").alias(c) for c in cols])
 
 
 def live(versions: DataFrame) -> DataFrame:

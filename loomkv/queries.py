@@ -388,8 +388,12 @@ def merkle_fetch(spark, sf):
 
 
 def _held_by(spark: SparkSession, sf: str, *nodes: str) -> dict[str, DataFrame]:
-    held = T.replica_versions(T.versions(T.writes(spark, sf)))
-    return {n: V.reconcile(held.where(F.col("replica") == n), "key").select("key", "seq", "clock", "deleted", "value") for n in nodes}
+    """Each node's sibling sets. All are derived in one pass and written, since a round reads either side twice, for its tree and for its versions."""
+    from loomkv.streaming.folders import written
+
+    held = T.replica_versions(T.versions(T.writes(spark, sf))).where(F.col("replica").isin(*nodes))
+    sets = written(V.reconcile(held.select("replica", "key", "seq", "clock", "deleted", "value"), "replica", "key"))
+    return {n: sets.where(F.col("replica") == n).drop("replica") for n in nodes}
 
 
 @query(f"WITH {O.HELD} SELECT key, seq, deleted FROM merged")

@@ -273,6 +273,34 @@ def test_reconcile_of_many(spark):
     assert got["chain"] == [299] and got["apart"] == list(range(70)) and got["equal"] == [0] and got["none"] == [0]
 
 
+def test_histories_end_before_pieces(spark, monkeypatch):
+    """Of a history of one version after the other a single one is dealt into pieces; concurrent ones all are."""
+    dealt = []
+    few = V.reconcile_few
+    monkeypatch.setattr(V, "reconcile_few", lambda versions, *key: dealt.append(rows_of(versions)) or few(versions, *key))
+    data = [("chain", i, {"n0": i + 1, "n1": i // 2}) for i in range(300)] + [("apart", i, {f"w{i}": 1}) for i in range(20)] + [("two", i, {f"w{i % 2}": i // 2 + 1}) for i in range(100)]
+    got = rows_of(V.reconcile(spark.createDataFrame(data, "key string, seq bigint, clock map<string,bigint>"), "key"))
+    assert dealt[0]["chain"] == [299] and len(dealt[0]["apart"]) == 20 and len(dealt[0]["two"]) == 51
+    assert got == {"chain": [299], "apart": list(range(20)), "two": [98, 99]}
+
+
+def test_reconcile_equals_all_pairs(spark):
+    """Clocks drawn at random, some null, empty, equal or with zeros, against a comparison of every version with every other."""
+    r = random.Random(5)
+    draw = lambda: r.choice([None, {}]) if r.random() < 0.05 else {n: r.randrange(5) for n in r.sample(["a", "b", "c", "d"], r.randrange(5))}
+    data = [(f"k{k}", i, draw()) for k in range(30) for i in range(r.choice([1, 2, 15, 40, 120]))]
+    at = lambda c: tuple((c or {}).get(n, 0) for n in "abcd")
+
+    def gone(key, seq, clock):
+        return any(k == key and all(x >= y for x, y in zip(at(c), at(clock))) and (at(c) != at(clock) or s < seq) for k, s, c in data)
+
+    want = {}
+    for key, seq, clock in data:
+        if not gone(key, seq, clock):
+            want.setdefault(key, []).append(seq)
+    assert rows_of(V.reconcile(spark.createDataFrame(data, "key string, seq bigint, clock map<string,bigint>"), "key")) == want
+
+
 def rows_of(df):
     out = {}
     for r in df.collect():
